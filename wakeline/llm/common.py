@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Bytes of text in a chunk; a worker holds a few times as much.
 CHUNK_BYTES = 8 << 20
 #: Keys that one bucket takes, about.
-BUCKET_KEYS = 2 << 20
+BUCKET_KEYS = 1 << 20
 
 ASK_SCHEMA = "bucket int, chunk int, payload binary"
 
@@ -87,14 +87,22 @@ def ask(
     return asks.groupBy("bucket").applyInPandas(lambda got: frame(answer(got)), ASK_SCHEMA)
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Non-negative integers in as few bytes as they need."""
+    if a.dtype.kind not in "iu" or not len(a) or int(a.min()) < 0:
+        return a
+    return a.astype(np.min_scalar_type(int(a.max())))
+
+
 def pack_arrays(*arrays: np.ndarray) -> bytes:
     """Arrays of any length and dtype as one compressed blob."""
     import zstandard
 
+    small = [_narrow(a) for a in arrays]
     head = [len(arrays)]
-    for a in arrays:
-        head += [ord(a.dtype.char), len(a)]
-    body = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    for a, s in zip(arrays, small):
+        head += [ord(a.dtype.char), ord(s.dtype.char), len(a)]
+    body = b"".join(np.ascontiguousarray(s).tobytes() for s in small)
     return zstandard.ZstdCompressor(level=1).compress(np.array(head, np.int64).tobytes() + body)
 
 
@@ -103,27 +111,21 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8), 8 + 16 * n, []
-    for kind, size in head.reshape(-1, 2):
-        dtype = np.dtype(chr(kind))
-        out.append(np.frombuffer(raw, dtype, size, at))
+    head, at, out = np.frombuffer(raw, np.int64, 3 * n, 8), 8 + 24 * n, []
+    for kind, stored, size in head.reshape(-1, 3):
+        dtype = np.dtype(chr(stored))
+        out.append(np.frombuffer(raw, dtype, size, at).astype(chr(kind), copy=False))
         at += int(size) * dtype.itemsize
     return out
 
 
-def pack_sorted(keys: np.ndarray) -> np.ndarray:
-    """Sorted uint64 keys as differences, in 4 bytes each where they fit."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    if len(gaps) and int(gaps[1:].max(initial=0)) < 1 << 32 and int(gaps[0]) >= 1 << 32:
-        return np.concatenate([np.array([gaps[0] >> np.uint64(32), gaps[0] & np.uint64(0xFFFFFFFF)], np.uint32), gaps[1:].astype(np.uint32)])
-    return gaps
+def pack_sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted uint64 keys as the first and the differences, which are small."""
+    return keys[:1], np.diff(keys)
 
 
-def unpack_sorted(gaps: np.ndarray) -> np.ndarray:
-    if gaps.dtype == np.uint32:
-        first = (np.uint64(gaps[0]) << np.uint64(32)) | np.uint64(gaps[1])
-        gaps = np.concatenate([np.array([first], np.uint64), gaps[2:].astype(np.uint64)])
-    return np.cumsum(gaps, dtype=np.uint64)
+def unpack_sorted(first: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([first, gaps]), dtype=np.uint64)
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -145,32 +147,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Numbers words in order of first use: ids[word] gives the number, new or old."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
 def word_hashes(words) -> np.ndarray:
-    """64-bit hashes of strings."""
+    """64-bit hashes of byte strings."""
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_SPACE = dict.fromkeys((9, 10, 11, 12, 13), " ")
 
-
-def ascii_words(text: str | None) -> list[str]:
-    """Words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased."""
-    if not text:
-        return []
-    text = text.lower() if text.isascii() else text.translate(_LOWER)
-    for c in "\t\n\x0b\x0c\r":
-        if c in text:
-            text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+def ascii_words(text: str | None) -> list[bytes]:
+    """Words `[^\\x20\\x09-\\x0D]+` of the text in UTF-8, with A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def crc_mod(doc_id, m: int) -> int:
@@ -180,3 +171,70 @@ def crc_mod(doc_id, m: int) -> int:
 
 def id_crc_mod(col: str, m: int):
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(m))
+
+
+class Words:
+    """The words of a chunk's texts, one array after the other: number of each word, where each text starts and how long it is."""
+
+    def __init__(self, texts, split: Callable[[str | None], list[bytes]] = ascii_words):
+        ids = WordIds()
+        parts = []
+        for t in texts:
+            words = split(t)
+            parts.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+        self.size = np.array([len(p) for p in parts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.at = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        self.distinct = word_hashes(list(ids))
+        self.ids = ids
+
+    def hashes(self) -> np.ndarray:
+        return self.distinct[self.at] if len(self.at) else np.empty(0, np.uint64)
+
+    def inside(self, n: int) -> np.ndarray:
+        """Which positions start n words of one text."""
+        left = np.repeat(self.start + self.size, self.size) - np.arange(len(self.at))
+        return left >= n
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Rolling:
+    """Hashes of any run of words, equal for equal runs wherever they stand."""
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * powers(_BASE, n), dtype=np.uint64)])
+        self.back = powers(_BASE_INVERSE, n)
+
+    def runs(self, at: np.ndarray, n) -> np.ndarray:
+        return mix((self.sums[at + n] - self.sums[at]) * self.back[at])
+
+
+def send_counts(chunk: int, keys: np.ndarray, counts: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+    """Blobs of sorted distinct keys with counts, one for each bucket that gets a key."""
+    edges = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
+    return [(b, chunk, pack_arrays(*pack_sorted(keys[i:j]), counts[i:j])) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+
+
+def sum_counts(got: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of the blobs of a bucket: where each blob's keys are in the sorted distinct keys, those keys, and their summed counts."""
+    blobs = [unpack_arrays(p) for p in got["payload"]]
+    keys = [unpack_sorted(b[0], b[1]) for b in blobs]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, np.concatenate([b[2] for b in blobs]), len(distinct)).astype(np.int64)
+    return np.split(place, np.cumsum([len(k) for k in keys])[:-1]), distinct, total
+
+
+def own_row(chunk: int, payload: bytes) -> tuple[int, int, bytes]:
+    """A blob that a chunk sends to itself: its bucket is its own and hands it back."""
+    return -1 - chunk, chunk, payload

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wakeline.llm import packing, token_counts, token_output
+from wakeline.llm import fingerprints, language_id, lm_scoring, packing, repeats, token_counts, token_output
 
-MODULES = (token_output, token_counts, packing)
+MODULES = (token_output, repeats, fingerprints, token_counts, language_id, lm_scoring, packing)
 
 
 def queries() -> dict:
