@@ -25,7 +25,7 @@ CHUNK_BYTES = 8 << 20
 #: Keys that one bucket takes, about.
 BUCKET_KEYS = 1 << 20
 
-ASK_SCHEMA = "bucket int, chunk int, payload binary"
+ASK_SCHEMA = "bucket long, chunk long, payload binary"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def chunked(df: DataFrame, total: int, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     recomputed task finds the same rows; rows with equal ids still spread."""
     n = max(1, math.ceil(total / chunk_bytes))
     cols = df.columns
-    return df.withColumn("chunk", F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")).repartition(n, "chunk")
+    return df.withColumn("chunk", F.pmod(F.xxhash64(*cols), F.lit(n)).cast("long")).repartition(n, "chunk")
 
 
 def n_buckets(keys: int) -> int:

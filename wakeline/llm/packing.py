@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wakeline.llm.common import documents, scratch
 from wakeline.llm.tokenizer import cuts, tokenizer
@@ -151,7 +152,7 @@ def place(found: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
     """Add sequence_id and offset to pieces (columns doc_id, piece, length and any others)."""
     spare = found.filter(F.col("length") < capacity)
     n = max(1, math.ceil(spare.count() / shard))
-    schema = found.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*found.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(key, rows):
         rows = rows.sort_values([c for c in ("doc_id", "piece", "length", "ids_crc32") if c in rows], kind="stable").reset_index(drop=True)
