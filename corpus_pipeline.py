@@ -1,10 +1,62 @@
-"""A corpus pipeline: language ID, line dedup, near-duplicate join, decontamination, packing."""
+"""A corpus pipeline: language ID, line dedup, near-duplicate join, decontamination, packing.
+
+Each stage takes all documents that the one before it kept, and all but the last return documents in their own columns.  Between stages documents are
+written as Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from wakeline.llm import decontamination, language_id, line_dedup, ngram_join, packing
+from wakeline.llm.common import documents, scratch
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language go on; those without letters, or too mixed to tell, do not."""
+    return language_id.accepted(docs, language_id.train(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later matches of lines go, and documents that had nothing else."""
+    out = line_dedup.line_dedup(docs)
+    out = out.filter((F.col("_n_removed") == 0) | (F.col("_n_left") > 0))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document that gives it its name stays; of equal rows, one.  Rows without an id have no component and stay."""
+    named = ngram_join.ngram_join(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(named, docs["doc_id"] == named["_id"])
+    nth = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(1)))
+    kept = kept.withColumn("_text", F.xxhash64("text")).withColumn("_nth", nth).filter("_nth = 1").select(docs.columns)
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage like a benchmark item go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, each with its sequence and place."""
+    import public_tokenizers
+
+    return packing.best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language_id", identify), ("line_dedup", dedup_lines), ("ngram_join", join_near), ("decontamination", decontaminate), ("packing", pack)]
+
+#: The stages that learn or search aren't SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = scratch(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

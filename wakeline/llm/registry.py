@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wakeline.llm import fingerprints, language_id, line_dedup, lm_scoring, ngram_join, packing, repeats, token_counts, token_output
+from wakeline.llm import decontamination, fingerprints, language_id, line_dedup, lm_scoring, ngram_join, packing, repeats, token_counts, token_output
 
-MODULES = (token_output, repeats, fingerprints, token_counts, language_id, ngram_join, line_dedup, lm_scoring, packing)
+MODULES = (token_output, repeats, fingerprints, decontamination, token_counts, language_id, ngram_join, line_dedup, lm_scoring, packing)
 
 
 def queries() -> dict:
