@@ -31,7 +31,8 @@ def haversine(x1, y1, x2, y2, crs: int = DEGREES) -> Column:
     a, b = F.radians(col(y1)), F.radians(col(y2))
     dy, dx = b - a, F.radians(col(x2)) - F.radians(col(x1))
     h = F.pow(F.sin(dy / 2), F.lit(2.0)) + F.cos(a) * F.cos(b) * F.pow(F.sin(dx / 2), F.lit(2.0))
-    return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    # rounding may take h past 1; least() would take a NULL for 1
+    return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 def euclidean(x1, y1, x2, y2, crs: int = METRES) -> Column:

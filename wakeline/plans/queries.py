@@ -43,7 +43,7 @@ dim AS (SELECT CAST(c_custkey + 200000000 AS INTEGER) AS mmsi, (c_custkey % 30 +
 
 
 def _haversine(x1: str, y1: str, x2: str, y2: str) -> str:
-    return f"2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin((radians({y2}) - radians({y1})) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin((radians({x2}) - radians({x1})) / 2), 2))))"
+    return f"2 * 6371008.8 * asin(sqrt(pow(sin((radians({y2}) - radians({y1})) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin((radians({x2}) - radians({x1})) / 2), 2)))"
 
 
 def _cut(keeps: str, t: str = "m") -> str:
