@@ -8,8 +8,8 @@ Two sets link when 100 * |A ^ B| >= 85 * |A v B|.  The join is exact.
    link makes it answer for its partner: what is in one component needs no further comparison.
 3. Lists that still hold several components are compared across these: a list is cut into blocks by position, and a pair
    of blocks is skipped whole when the positions alone rule a link out; length, position and a parity sketch (a lower bound of the
-   symmetric difference) rule out single pairs.  In each round a node is verified against its nearest node of each other component, and components
-   grow; when no round finds a link, all pairs still left are verified.
+   symmetric difference) rule out single pairs.  In each round a node is verified against its nearest node of another component, one pair a node, and
+   components grow; when a round finds no link, all pairs still left are verified.
 
 Lists longer than `LIST` are dealt out in pairs of parts, so no task holds more than two parts of one.  Equal sets, of any number, are collapsed by
 partial aggregation before they are shuffled.  Null and empty texts have an empty set and link with nothing.  Rows with equal ids are
@@ -178,8 +178,8 @@ def block_pairs(place: np.ndarray, size: np.ndarray, label: np.ndarray, sketch:
     return np.concatenate(found) if found else np.empty((0, 3), np.int64)
 
 
-def candidates(entries: DataFrame, n_tasks: int, num: int, den: int, best: bool) -> DataFrame:
-    """Pairs (a < b) across labels that the filters leave; with `best` only each node's nearest of each other label in a list."""
+def candidates(entries: DataFrame, n_tasks: int, num: int, den: int, best: int = 0) -> DataFrame:
+    """Pairs (a < b, far) across labels that the filters leave; with `best` only that many of the nearest to each node in a list."""
 
     def run(got: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -191,19 +191,19 @@ def candidates(entries: DataFrame, n_tasks: int, num: int, den: int, best: bool)
             pairs = block_pairs(g["place"].to_numpy(), g["size"].to_numpy(), label, sketch, g["part"].to_numpy(), i != j, num, den)
             if best and len(pairs):
                 both = np.concatenate([pairs, pairs[:, [1, 0, 2]]])
-                both = both[np.lexsort((both[:, 1], both[:, 2], label[both[:, 1]], both[:, 0]))]
-                new = np.ones(len(both), bool)
-                new[1:] = (both[1:, 0] != both[:-1, 0]) | (label[both[1:, 1]] != label[both[:-1, 1]])
-                pairs = both[new]
+                both = both[np.lexsort((label[both[:, 1]], both[:, 2], both[:, 0]))]
+                head = np.flatnonzero(np.diff(both[:, 0], prepend=-1))
+                nth = np.arange(len(both)) - np.repeat(head, np.diff(np.append(head, len(both))))
+                pairs = both[nth < best]
             node = g["node"].to_numpy()
             x, y = node[pairs[:, 0]], node[pairs[:, 1]]
-            out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y), pairs[:, 2]], axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64), columns=["a", "b", "far"])
 
     parts = F.ceil(F.col("n") / F.lit(LIST)).cast("int")
     dealt = entries.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("gram", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "part", "node", "size", "place", "label", "sketch")
-    return dealt.groupBy(F.pmod(F.xxhash64("gram", "part_a", "part_b"), F.lit(n_tasks))).applyInPandas(run, "a long, b long").distinct()
+    return dealt.groupBy(F.pmod(F.xxhash64("gram", "part_a", "part_b"), F.lit(n_tasks))).applyInPandas(run, "a long, b long, far long").distinct()
 
 
 def with_sketch(nodes: DataFrame) -> DataFrame:
@@ -235,14 +235,17 @@ def links(found: DataFrame, num: int, den: int) -> DataFrame:
     # 2: across components
     shared = scratch(index.join(heads.select("gram", "n"), "gram"), "index")
     n_tasks = max(spark.sparkContext.defaultParallelism, shared.count() // 20_000 + 1)
-    best, tried = True, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = scratch(tried, "tried")
+    best, tried = 3, scratch(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
     while True:
-        named = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = scratch(named, "named")
+        named = scratch(shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
         mixed = scratch(named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("gram"), "mixed")
         entries = named.join(mixed, "gram", "left_semi").join(with_sketch(nodes), "node")
-        pairs = scratch(candidates(entries, n_tasks, num, den, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = candidates(entries, n_tasks, num, den, best).join(tried, ["a", "b"], "left_anti")
+        if best:  # one for each node
+            each = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
+            near = pairs.select(each.alias("p"), "far").groupBy("p.node").agg(F.min(F.struct("far", "p.other")).alias("near"))
+            pairs = near.select(F.least("node", "near.other").alias("a"), F.greatest("node", "near.other").alias("b")).distinct()
+        pairs = scratch(pairs.select("a", "b"), "pairs")
         fresh = scratch(verify(pairs, nodes, num, den), "linked")
         more = fresh.limit(1).count()
         if more:
@@ -251,7 +254,7 @@ def links(found: DataFrame, num: int, den: int) -> DataFrame:
         if not best:
             return label
         tried = tried.union(pairs)
-        best = bool(more)
+        best = best if more else 0
 
 
 def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
