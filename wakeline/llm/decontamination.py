@@ -106,7 +106,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_c
     index = index.withColumn("flip", F.explode(near)).select("*", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("flip").cast("long")).alias("value")).drop("b", "flip")
     asked = marks.select("window", "m", "total", "left", "right", F.explode(blocks()).alias("b")).select("*", "b.block", "b.value").drop("b")
     apart = F.bit_count(F.col("left").bitwiseXOR(F.col("item_left"))) + F.bit_count(F.col("right").bitwiseXOR(F.col("item_right")))
-    pairs = asked.join(index, ["block", "value", "m"]).filter(apart <= RADIUS).select("window", "item", "total", "item_total").distinct()
+    # the index is far larger than its plan lets Spark guess: never broadcast it
+    pairs = asked.join(index.hint("merge"), ["block", "value", "m"]).filter(apart <= RADIUS).select("window", "item", "total", "item_total").distinct()
 
     both = pairs.join(of_window, "window").join(of_item.withColumnRenamed("n", "item_n"), ["item", "gram"])
     common = both.groupBy("window", "item").agg(F.sum(F.least("n", "item_n")).alias("common"), F.first("total").alias("total"), F.first("item_total").alias("item_total"))
