@@ -78,6 +78,7 @@ def ask(
     the round before); `answer` turns all blobs of a bucket into blobs for the chunks."""
 
     def frame(rows: list) -> pd.DataFrame:
+        give_back()
         return pd.DataFrame(rows, columns=["bucket", "chunk", "payload"])
 
     if heard is None:
@@ -87,6 +88,27 @@ def ask(
     return asks.groupBy("bucket").applyInPandas(lambda got: frame(answer(got)), ASK_SCHEMA)
 
 
+_given_back = 0.0
+
+
+def give_back(every: float = 2.0) -> None:
+    """Return freed memory to the system, now and then: workers live on from stage to stage, and what they keep adds to the executor's."""
+    import ctypes
+    import time
+
+    import pyarrow as pa
+
+    global _given_back
+    if time.monotonic() - _given_back < every:
+        return
+    _given_back = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def _narrow(a: np.ndarray) -> np.ndarray:
     """Non-negative integers in as few bytes as they need."""
     if a.dtype.kind not in "iu" or not len(a) or int(a.min()) < 0:
@@ -95,14 +117,14 @@ def _narrow(a: np.ndarray) -> np.ndarray:
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Arrays of any length and dtype as one compressed blob."""
+    """Arrays of any length and dtype as one blob: bytes of the same weight together, compressed."""
     import zstandard
 
-    small = [_narrow(a) for a in arrays]
+    small = [np.ascontiguousarray(_narrow(a)) for a in arrays]
     head = [len(arrays)]
     for a, s in zip(arrays, small):
         head += [ord(a.dtype.char), ord(s.dtype.char), len(a)]
-    body = b"".join(np.ascontiguousarray(s).tobytes() for s in small)
+    body = b"".join(s.view(np.uint8).reshape(len(s), s.dtype.itemsize).T.tobytes() for s in small)
     return zstandard.ZstdCompressor(level=1).compress(np.array(head, np.int64).tobytes() + body)
 
 
@@ -114,7 +136,8 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
     head, at, out = np.frombuffer(raw, np.int64, 3 * n, 8), 8 + 24 * n, []
     for kind, stored, size in head.reshape(-1, 3):
         dtype = np.dtype(chr(stored))
-        out.append(np.frombuffer(raw, dtype, size, at).astype(chr(kind), copy=False))
+        planes = np.frombuffer(raw, np.uint8, size * dtype.itemsize, at).reshape(dtype.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype).astype(chr(kind), copy=False))
         at += int(size) * dtype.itemsize
     return out
 
@@ -220,6 +243,26 @@ class Rolling:
         return mix((self.sums[at + n] - self.sums[at]) * self.back[at])
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_tables = [powers(_BASE, 1 << 16), powers(_BASE_INVERSE, 1 << 16)]
+
+
+def byte_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs without ASCII white space) of UTF-8 text, and where they start; made for the whole array at once."""
+    x = np.frombuffer(data, np.uint8)
+    word = np.zeros(len(x) + 2, np.int8)
+    word[1:-1] = ~_SPACE[x]
+    step = np.diff(word)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    if len(_tables[0]) < len(x):
+        _tables[:] = [powers(_BASE, len(x)), powers(_BASE_INVERSE, len(x))]
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_BYTES[x] * _tables[0][: len(x)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * _tables[1][start] + (end - start).astype(np.uint64)), start
+
+
 def send_counts(chunk: int, keys: np.ndarray, counts: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
     """Blobs of sorted distinct keys with counts, one for each bucket that gets a key."""
     edges = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))

@@ -7,10 +7,10 @@ place, has a Jaccard similarity of num / den or more with it.  The join is exact
 2. Chunks send the hashes of their distinct words and lines to buckets: word frequencies come back as a byte each, and whether the chunk holds
    the earliest of all equal lines as a bit.  Equal lines go no further.
 3. The words of each line are ordered by rarity; the prefix (size - ceil(size * num / den) + 1 words), as far as other lines have
-   its words, is posted to the words' buckets.  There the lists are joined under length and positional filters and a parity sketch of 64
-   bits, which bounds the difference from below.  Each line keeps its `K` nearest earlier candidates in a bucket.
+   its words, is posted to the words' buckets.  There the lists are joined under length and positional filters and a parity sketch, of more bits for
+   longer lines, which bounds the difference from below.  Each line keeps about `K` earlier candidates in a bucket.
 4. Candidates send their words to the line's chunk, which verifies the Jaccard similarity.
-5. If a line had more candidates than were kept and none of those matched, all is done again with more kept, until no such line is left.
+5. Lines that had more candidates than a bucket kept, none of which matched, ask that bucket again, for all they have there.
 
 Null, empty and blank lines are never removed.  Of rows with equal ids (or null ids, which come first) the order is that of the input files.  Texts keep
 their other lines as they are.  Other columns pass through, whatever their names.
@@ -18,7 +18,7 @@ their other lines as they are.  Other columns pass through, whatever their names
 
 from __future__ import annotations
 
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,47 +29,84 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wakeline.llm.common import ASK_SCHEMA, CHUNK_BYTES, WordIds, bucket_of, documents, mix, n_buckets, own_row, pack_arrays, pack_sorted, scratch_dir, text_bytes, unpack_arrays, unpack_sorted, word_hashes
+from wakeline.llm.common import ASK_SCHEMA, CHUNK_BYTES, bucket_of, byte_words, documents, give_back, mix, n_buckets, own_row, pack_arrays, pack_sorted, text_bytes, unpack_arrays, unpack_sorted
 
 #: Candidates that a line keeps in a bucket at first.
-K = 8
+K = 4
+#: Lines with more words than this have sketches of four times as many bits, and again.
+FOLDS = (64, 256, 1024)
+#: Bytes of text that are split into words at once.
+SPLIT = 1 << 20
 
 
 def encode_lines(texts) -> list[np.ndarray]:
-    """Lines of each text; size of each line's set; word numbers of all sets, sorted; hashes of the words."""
-    ids = WordIds()
-    n_lines, sizes, parts = [], [], []
-    for t in texts:
-        lines = [x.split() for x in t.encode("utf-8", "surrogatepass").lower().split(b"\n")] if t else []
-        n_lines.append(len(lines))
-        sizes += map(len, lines)
-        parts.append(np.fromiter(map(ids.__getitem__, chain.from_iterable(lines)), np.int64))
-    size = np.array(sizes, np.int64)
-    key = np.repeat(np.arange(len(size)), size) << 32
-    if parts:
-        key |= np.concatenate(parts)
+    """Lines of each text (an empty one has one); size of each line's set; words of all sets, as differences of their numbers; sorted hashes of the words."""
+    data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    n_lines = np.array([d.count(b"\n") + 1 for d in data], np.int64)
+    hashes, lines, first, held, size = [], [], 0, [], 0
+    for k, d in enumerate(data):
+        held.append(d)
+        size += len(d)
+        if size >= SPLIT or k == len(data) - 1:
+            joined = b"\n".join(held)
+            h, start = byte_words(joined)
+            breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+            hashes.append(h)
+            lines.append(np.searchsorted(breaks, start) + first)
+            first, held, size = first + len(breaks) + 1, [], 0
+    total = int(n_lines.sum())
+    if not hashes:
+        none = np.empty(0, np.int64)
+        return [n_lines, none, none, none.view(np.uint64), none.view(np.uint64)]
+    code, found = pd.factorize(np.concatenate(hashes))  # a hash table: quicker than sorting all words
+    order = np.argsort(found)
+    number = np.empty(len(found), np.int64)
+    number[order] = np.arange(len(found))
+    distinct = found[order]
+    key = np.concatenate(lines) << 32 | number[code]
     key.sort()
     key = key[np.diff(key, prepend=-1) != 0]
-    return [np.array(n_lines, np.int64), np.bincount(key >> 32, minlength=len(size)).astype(np.int64), key & 0xFFFFFFFF, word_hashes(list(ids))]
+    line, number = key >> 32, key & 0xFFFFFFFF
+    gap = np.diff(number, prepend=0)
+    new = np.diff(line, prepend=-1) != 0
+    gap[new] = number[new]
+    return [n_lines, np.bincount(line, minlength=total).astype(np.int64), gap, *pack_sorted(distinct)]
 
 
 class Lines:
     """The lines of a chunk."""
 
     def __init__(self, blob: bytes):
-        self.doc, self.n_lines, self.size, self.word, self.hashes = unpack_arrays(blob)
+        self.doc, self.n_lines, self.size, self.gap, *hashes = unpack_arrays(blob)
+        self.hashes = unpack_sorted(*hashes)
         self.start = np.cumsum(self.size) - self.size
-        self.line = np.repeat(np.arange(len(self.size)), self.size)
-        self.doc_of_line = np.repeat(self.doc, self.n_lines)
-        self.order = np.argsort(self.hashes)  # words by hash
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(self.gap)])
+        return sums[1:] - np.repeat(sums[self.start], self.size)
+
+    @cached_property
+    def line(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size)), self.size)
+
+    @cached_property
+    def doc_of_line(self) -> np.ndarray:
+        return np.repeat(self.doc, self.n_lines)
+
+    @cached_property
+    def signature(self) -> np.ndarray:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.hashes)[self.word], dtype=np.uint64)])
-        self.signature = mix(sums[self.start + self.size] - sums[self.start] + self.size.astype(np.uint64))
-        # the earliest line of each set in the chunk
+        return mix(sums[self.start + self.size] - sums[self.start] + self.size.astype(np.uint64))
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The earliest line of each set in the chunk, in the order of signatures."""
         some = np.flatnonzero(self.size)
         by = some[np.lexsort((some, self.doc_of_line[some], self.signature[some]))]
         first = np.ones(len(by), bool)
         first[1:] = self.signature[by[1:]] != self.signature[by[:-1]]
-        self.first = by[first]  # sorted by signature
+        return by[first]
 
     def is_first(self) -> np.ndarray:
         out = np.zeros(len(self.size), bool)
@@ -81,12 +118,22 @@ def _edges(keys: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
 
 
-def ask_words(chunk: int, lines: Lines, n: int) -> list[tuple[int, int, bytes]]:
-    count = np.bincount(lines.word[lines.is_first()[lines.line]], minlength=len(lines.hashes))[lines.order]
-    words, sets = lines.hashes[lines.order], lines.signature[lines.first]
+def ask_words(chunk: int, lines: Lines, n: int, drop: np.uint64) -> list[tuple[int, int, bytes]]:
+    """`drop`: bits that the words' hashes leave out; words that then look alike only look more frequent, the same to all."""
+    short, place = _short(lines.hashes, drop)
+    count = np.bincount(place[lines.word[lines.is_first()[lines.line]]], minlength=len(short))
+    sets = lines.signature[lines.first]
     docs = lines.doc_of_line[lines.first]
-    we, se = _edges(words, n), _edges(sets, n)
-    return [(b, chunk, pack_arrays(*pack_sorted(words[i:j]), count[i:j], *pack_sorted(sets[k:m]), docs[k:m], lines.first[k:m])) for b, (i, j, k, m) in enumerate(zip(we, we[1:], se, se[1:])) if j > i]
+    we, se = _edges(short << drop, n), _edges(sets, n)
+    return [(b, chunk, pack_arrays(*pack_sorted(short[i:j]), count[i:j], *pack_sorted(sets[k:m]), docs[k:m], lines.first[k:m])) for b, (i, j, k, m) in enumerate(zip(we, we[1:], se, se[1:])) if j > i or m > k]
+
+
+def _short(hashes: np.ndarray, drop: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Shortened distinct hashes, and the place of each hash there."""
+    short = hashes >> drop
+    new = np.ones(len(short), bool)
+    new[1:] = short[1:] != short[:-1]
+    return short[new], np.cumsum(new) - 1
 
 
 def answer_words(got: pd.DataFrame) -> list[tuple[int, int, bytes]]:
@@ -109,18 +156,18 @@ def answer_words(got: pd.DataFrame) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def post(chunk: int, lines: Lines, said: list[tuple[int, bytes]], n: int, num: int, den: int) -> list[tuple[int, int, bytes]]:
+def post(chunk: int, lines: Lines, said: list[tuple[int, bytes]], n: int, drop: np.uint64, num: int, den: int) -> list[tuple[int, int, bytes]]:
     """Postings of the chunk's earliest lines; and, for itself, which those are."""
     parts = [unpack_arrays(p) for _, p in sorted(said)]
     code = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint8)
     own = lines.first[np.concatenate([p[1] for p in parts]).view(bool)] if parts else lines.first
     out = [own_row(chunk, pack_arrays(own))]
     # words by rarity
-    by = np.lexsort((lines.hashes[lines.order], code))
-    rare = lines.order[by]
+    code = code[_short(lines.hashes, drop)[1]]
+    rare = np.argsort(code, kind="stable")  # the hashes are sorted
     rank = np.empty(len(rare), np.int64)
     rank[rare] = np.arange(len(rare))
-    code_of = code[by]  # of a rank
+    code_of = code[rare]  # of a rank
     mine = np.zeros(len(lines.size), bool)
     mine[own] = True
     tokens = mine[lines.line]
@@ -135,24 +182,86 @@ def post(chunk: int, lines: Lines, said: list[tuple[int, bytes]], n: int, num: i
     keep = (place <= size + (-size * num // den)) & (code_of[r] > 1)
     line, r, place, size = line[keep], r[keep], place[keep], size[keep]
     word = lines.hashes[rare[r]]
-    # parity sketches of the lines, 64 bits each
-    bit = (np.uint64(1) << (mix(lines.hashes) >> np.uint64(58)))[lines.word]
-    some = np.flatnonzero(lines.size)
-    sketch = np.zeros(len(lines.size), np.uint64)
-    if len(some):
-        sketch[some] = np.bitwise_xor.reduceat(bit, lines.start[some])
+    sketches = Sketches.of(lines, np.unique(line))
     to = np.argsort(word)
     edges = _edges(word[to], n)
     for b, (i, j) in enumerate(zip(edges, edges[1:])):
         if j > i:
             k = to[i:j]
-            out.append((b, chunk, pack_arrays(*pack_sorted(word[k]), line[k], place[k], size[k], sketch[line[k]], lines.doc_of_line[line[k]])))
+            out.append((b, chunk, pack_arrays(*pack_sorted(word[k]), line[k], place[k], size[k], lines.doc_of_line[line[k]], *(level[sketches.number(line[k], size[k], f)].ravel() for f, level in sketches.levels.items()))))
     return out
 
 
-def join_lists(word, size, place, sketch, num: int, den: int):
-    """Pairs of entries of one list that may be alike, with a lower bound of their difference.  Entries are sorted by word and size."""
-    found, step = [], 1
+class Sketches:
+    """Parity sketches of lines: bits that say whether an odd number of words fall on them.  Two sets differ in at least as many words as
+    their sketches in bits.  A line is in the level of its size, 64 times 1, 4, 16 or 64 bits; a larger sketch folds to a smaller by exclusive or."""
+
+    LEVELS = (1, 4, 16, 64)
+
+    def __init__(self, levels: dict[int, np.ndarray], where: np.ndarray):
+        self.levels, self.where = levels, where
+
+    @staticmethod
+    def level(size: np.ndarray) -> np.ndarray:
+        return np.searchsorted(np.array(FOLDS), size)
+
+    @classmethod
+    def of(cls, lines: Lines, numbers: np.ndarray) -> Sketches:
+        hashes, levels = mix(lines.hashes), {}
+        where = np.zeros(len(lines.size), np.int64)
+        level = cls.level(lines.size[numbers])
+        for k, f in enumerate(cls.LEVELS):
+            own = numbers[level == k]
+            where[own] = np.arange(len(own))
+            size = lines.size[own]
+            at = np.repeat(lines.start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            bit = (hashes[lines.word[at]] & np.uint64(64 * f - 1)).astype(np.int64)
+            if f == 1:
+                levels[f] = np.bitwise_xor.reduceat(np.uint64(1) << bit.astype(np.uint64), np.cumsum(size) - size).reshape(-1, 1) if len(own) else np.zeros((0, 1), np.uint64)
+                continue
+            count = np.bincount(np.repeat(np.arange(len(own)), size) * (64 * f) + bit, minlength=len(own) * 64 * f) if len(own) else np.zeros(0, np.int64)
+            levels[f] = np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.uint64).reshape(-1, f)
+        return cls(levels, where)
+
+    def number(self, line: np.ndarray, size: np.ndarray, f: int) -> np.ndarray:
+        return self.where[line[self.level(size) == self.LEVELS.index(f)]]
+
+
+class Folded:
+    """Sketches of entries of all levels, for comparing any two at the finest level both have."""
+
+    def __init__(self, size: np.ndarray, levels: list[np.ndarray]):
+        self.level = Sketches.level(size)
+        self.tables = []
+        for k, own in enumerate(levels):
+            f = Sketches.LEVELS[k]  # bit h % 64e of a finer sketch is bit h % 64f here
+            finer = [levels[m].reshape(-1, Sketches.LEVELS[m] // f, f) for m in range(k + 1, len(levels))]
+            self.tables.append(np.concatenate([own.reshape(-1, f), *[np.bitwise_xor.reduce(t, axis=1) for t in finer]]))
+        # an entry's row in the table of a level: entries of that level first, then those of finer ones
+        self.rows = np.zeros((len(levels), len(size)), np.int64)
+        for k in range(len(levels)):
+            order = np.concatenate([np.flatnonzero(self.level == f) for f in range(k, len(levels))])
+            self.rows[k, order] = np.arange(len(order))
+
+    def apart(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which pairs may differ in no more than `most` words."""
+        ok = np.bitwise_count(self.tables[0][self.rows[0, i], 0] ^ self.tables[0][self.rows[0, j], 0]) <= most
+        for k in range(1, len(self.tables)):
+            both = np.flatnonzero(ok & (np.minimum(self.level[i], self.level[j]) >= k))
+            if not len(both):
+                break
+            for at in range(0, len(both), 1 << 16):
+                b = both[at : at + (1 << 16)]
+                far = np.bitwise_count(self.tables[k][self.rows[k, i[b]]] ^ self.tables[k][self.rows[k, j[b]]]).sum(axis=1, dtype=np.int64)
+                ok[b] = far <= most[b]
+        return ok
+
+
+def join_lists(word, size, place, sketch: Folded, rank, owner, keep: int, num: int, den: int, wanted=None):
+    """Pairs (later entry, earlier entry) of one list that may be alike, about `keep` for each later line, and which lines had more.
+    Entries are sorted by word and size; rank is their place in the corpus, owner the number of their line; wanted: lines to find pairs for."""
+    count = np.zeros(int(owner.max(initial=-1)) + 1, np.int64)
+    later, earlier, step = [], [], 1
     i = np.arange(max(0, len(word) - 1))
     while len(i):
         j = i + step
@@ -160,44 +269,68 @@ def join_lists(word, size, place, sketch, num: int, den: int):
         j = i + step
         both = size[i] + size[j]
         need = -(-both * num // (num + den))
-        far = np.bitwise_count(sketch[i] ^ sketch[j])
-        ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (far <= both - 2 * need)
-        found.append(np.stack([i[ok], j[ok], far[ok]], axis=1))
+        swap = rank[i] < rank[j]
+        x, y = np.where(swap, j, i), np.where(swap, i, j)
+        ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
+        ok &= count[owner[x]] <= keep  # one beyond tells that there are more
+        if wanted is not None:
+            ok &= wanted[owner[x]]
+        x, y, most = x[ok], y[ok], (both - 2 * need)[ok]
+        ok = sketch.apart(x, y, most)
+        x, y = x[ok], y[ok]
+        np.add.at(count, owner[x], 1)
+        later.append(x)
+        earlier.append(y)
         step += 1
         i = i[i + step < len(word)]
-    return np.concatenate(found) if found else np.empty((0, 3), np.int64)
-
-
-def match(got: pd.DataFrame, keep: int, num: int, den: int) -> list[tuple[int, int, bytes]]:
-    """Candidates of a bucket, each told to the earlier line's chunk: later line's chunk and number, earlier line's number, and if more were found."""
-    if got["bucket"].iloc[0] < 0:
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *later]), np.concatenate([none, *earlier]), count > keep
+
+
+def by_word_and_size(word: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Order by word, then size: by one key if that tells all words apart."""
+    key = word & ~np.uint64(0xFFFF) | np.minimum(size, 0xFFFF).astype(np.uint64)
+    order = np.argsort(key)
+    high, own = key[order] >> np.uint64(16), word[order]
+    if len(size) and (size.max() > 0xFFFF or ((high[1:] == high[:-1]) & (own[1:] != own[:-1])).any()):
+        return np.lexsort((size, word))
+    return order
+
+
+def match(got: pd.DataFrame, keep: int, num: int, den: int, only: pd.DataFrame | None = None) -> list[tuple[int, int, bytes]]:
+    """Candidates of a bucket, each told to the earlier line's chunk: later line's chunk and number, earlier line's number, and the bucket
+    (counted from 1) if it had more than `keep`, else 0.  With `only`, all candidates of the lines named there."""
+    if only is not None and (not len(only) or not len(got) or only["bucket"].iloc[0] < 0):
+        return list(only.itertuples(index=False, name=None)) if len(only) and only["bucket"].iloc[0] < 0 else []
+    bucket = int(got["bucket"].iloc[0])
+    if bucket < 0:
         return list(got.itertuples(index=False, name=None))
     blobs = [unpack_arrays(p) for p in got["payload"]]
     chunks = np.repeat(got["chunk"].to_numpy(), [len(b[2]) for b in blobs])
     word = np.concatenate([unpack_sorted(b[0], b[1]) for b in blobs])
-    line, place, size, sketch, doc = (np.concatenate([b[k] for b in blobs]) for k in range(2, 7))
-    by = np.lexsort((size, word))
-    word, line, place, size, sketch, doc, chunks = (a[by] for a in (word, line, place, size, sketch, doc, chunks))
-    pairs = join_lists(word, size, place, sketch, num, den)
-    i, j, far = pairs.T
-    swap = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & ((chunks[i] < chunks[j]) | ((chunks[i] == chunks[j]) & (line[i] < line[j]))))
-    x, y = np.where(swap, j, i), np.where(swap, i, j)  # x is the later one
-    order = np.lexsort((line[y], chunks[y], far, line[x], chunks[x]))
-    x, y, far = x[order], y[order], far[order]
-    same_x = np.append(False, (line[x[1:]] == line[x[:-1]]) & (chunks[x[1:]] == chunks[x[:-1]])) if len(x) else np.empty(0, bool)
-    same = same_x & np.append(False, (line[y[1:]] == line[y[:-1]]) & (chunks[y[1:]] == chunks[y[:-1]])) if len(x) else same_x
-    x, y, same_x = x[~same], y[~same], same_x[~same]  # a pair that meets in several lists counts once
-    head = np.flatnonzero(~same_x)
-    group = np.cumsum(~same_x) - 1
-    nth = np.arange(len(x)) - head[group] if len(x) else np.empty(0, np.int64)
-    more = (np.diff(np.append(head, len(x))) > keep)[group] if len(x) else same_x
-    x, y, more = x[nth < keep], y[nth < keep], more[nth < keep]
-    to = np.argsort(chunks[y], kind="stable")
-    x, y, more = x[to], y[to], more[to]
-    out = []
-    for k in np.split(np.arange(len(y)), np.flatnonzero(np.diff(chunks[y])) + 1) if len(y) else []:
-        out.append((int(got["bucket"].iloc[0]), int(chunks[y[k[0]]]), pack_arrays(chunks[x[k]], line[x[k]], line[y[k]], more[k].view(np.uint8))))
-    return out
+    line, place, size, doc = (np.concatenate([b[k] for b in blobs]) for k in range(2, 6))
+    sketch = Folded(size, [np.concatenate([b[6 + k] for b in blobs]) for k in range(len(Sketches.LEVELS))])
+    rank, owner = np.empty(len(word), np.int64), np.empty(len(word), np.int64)
+    at = np.searchsorted(np.unique(got["chunk"]), chunks) << 32 | line
+    order = np.lexsort((at, doc))
+    rank[order] = np.arange(len(word))
+    owner[order] = np.cumsum(np.diff(at[order], prepend=-1) != 0) - 1
+    wanted, by = None, np.arange(len(word))
+    if only is not None:
+        wanted, keep = np.zeros(int(owner.max()) + 1, bool), len(word)
+        for c, p in zip(only["chunk"], only["payload"]):
+            own = np.flatnonzero(chunks == c)
+            wanted[owner[own[np.isin(line[own], unpack_arrays(p)[0])]]] = True
+        by = np.flatnonzero(np.isin(word, word[wanted[owner]]))  # their lists only
+    by = by[by_word_and_size(word[by], size[by])]
+    sketch.level, sketch.rows = sketch.level[by], sketch.rows[:, by]
+    x, y, over = join_lists(word[by], size[by], place[by], sketch, rank[by], owner[by], keep, num, den, wanted)
+    if not len(x):
+        return []
+    x, y = by[x], by[y]
+    pairs = np.unique(np.stack([chunks[y], chunks[x], line[x], line[y], over[owner[x]] * (bucket + 1)], axis=1), axis=0)
+    cuts = np.flatnonzero(np.diff(pairs[:, 0])) + 1
+    return [(bucket, int(p[0, 0]), pack_arrays(*(np.ascontiguousarray(p[:, k]) for k in range(1, 5)))) for p in np.split(pairs, cuts)]
 
 
 def show(chunk: int, lines: Lines, said: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
@@ -207,39 +340,56 @@ def show(chunk: int, lines: Lines, said: list[tuple[int, bytes]]) -> list[tuple[
     if not blobs:
         return out
     to, x, y, more = (np.concatenate([b[k] for b in blobs]) for k in range(4))
-    by = np.lexsort((1 - more, y, x, to))
+    by = np.lexsort((more, y, x, to))
     to, x, y, more = to[by], x[by], y[by], more[by]
-    new = np.append(True, (to[1:] != to[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    new = np.append(True, (to[1:] != to[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (more[1:] != more[:-1]))
     to, x, y, more = to[new], x[new], y[new], more[new]
     for k in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1):
-        size = lines.size[y[k]]
-        at = np.repeat(lines.start[y[k]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        out.append((chunk, int(to[k[0]]), pack_arrays(x[k], more[k], size, lines.hashes[lines.word[at]])))
+        own, which = np.unique(y[k], return_inverse=True)  # each line's words once
+        size = lines.size[own]
+        at = np.repeat(lines.start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        out.append((chunk, int(to[k[0]]), pack_arrays(x[k], more[k], which, size, lines.hashes[lines.word[at]])))
     return out
 
 
-def decide(lines: Lines, said: list[tuple[int, bytes]], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which lines go; which had more candidates than were shown and didn't match one."""
-    gone = lines.size > 0
-    for b, p in said:
-        if b < 0:
-            gone[unpack_arrays(p)[0]] = False
+def verified(lines: Lines, said: list[tuple[int, bytes]], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines that match a candidate; and (line, bucket) where a line had more candidates than were shown."""
+    gone = np.zeros(len(lines.size), bool)
     blobs = [unpack_arrays(p) for b, p in said if b >= 0]
-    open_ = np.zeros(len(lines.size), bool)
-    if blobs:
-        x, more, size, words = (np.concatenate([b[k] for b in blobs]) for k in range(4))
-        pair = np.repeat(np.arange(len(x)), size)
-        theirs = mix(words + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        own_size = lines.size[x]
-        at = np.repeat(lines.start[x] - (np.cumsum(own_size) - own_size), own_size) + np.arange(own_size.sum())
-        own_pair = np.repeat(np.arange(len(x)), own_size)
-        ours = mix(lines.hashes[lines.word[at]] + own_pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        common = np.bincount(pair[np.isin(theirs, ours)], minlength=len(x))
-        hit = common * den >= (size + own_size - common) * num
-        gone[x[hit]] = True
-        open_[x[more > 0]] = True
-        open_ &= ~gone
-    return gone, open_
+    if not blobs:
+        return gone, np.empty(0, np.int64), np.empty(0, np.int64)
+    x, more = (np.concatenate([b[k] for b in blobs]) for k in range(2))
+    parts = []
+    for _, _, which, size, words in blobs:
+        start, size_of = (np.cumsum(size) - size)[which], size[which]
+        parts.append((size_of, words[np.repeat(start - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())]))
+    size, words = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    seed = np.uint64(0x9E3779B97F4A7C15)
+    pair = np.repeat(np.arange(len(x)), size)
+    own_size = lines.size[x]
+    at = np.repeat(lines.start[x] - (np.cumsum(own_size) - own_size), own_size) + np.arange(own_size.sum())
+    own_pair = np.repeat(np.arange(len(x)), own_size)
+    ours = mix(lines.hashes[lines.word[at]] + own_pair.astype(np.uint64) * seed)
+    known = pd.Series(mix(words + pair.astype(np.uint64) * seed)).isin(ours).to_numpy()
+    common = np.bincount(pair[known], minlength=len(x))
+    gone[x[common * den >= (size + own_size - common) * num]] = True
+    return gone, x[more > 0], more[more > 0] - 1
+
+
+def own_flags(said: list[tuple[int, bytes]]) -> np.ndarray:
+    return unpack_arrays(next(p for b, p in said if b < 0))[0]
+
+
+def settle(chunk: int, lines: Lines, said: list[tuple[int, bytes]], num: int, den: int) -> list[tuple[int, int, bytes]]:
+    """Which lines go so far, for the chunk itself; to the buckets, lines that matched none but had more candidates there."""
+    gone, line, bucket = verified(lines, said, num, den)
+    first = np.zeros(len(gone), bool)
+    first[own_flags(said)] = True
+    gone |= (lines.size > 0) & ~first
+    out = [own_row(chunk, pack_arrays(gone.view(np.uint8)))]
+    open_ = ~gone[line]
+    line, bucket = line[open_], bucket[open_]
+    return out + [(int(b), chunk, pack_arrays(np.unique(line[bucket == b]))) for b in np.unique(bucket)]
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -249,90 +399,84 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUN
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            text = batch.column(batch.schema.get_field_index("_text"))
+            text = batch.column(place)
             after = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < batch.num_rows:
                 base = after[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(after, base + chunk_bytes)))
                 part = batch.slice(at, end - at)
-                ids = part.column(part.schema.get_field_index("_id")).to_pylist()
+                ids = part.column(len(columns)).to_pylist()
                 order = np.array([-(2**63) if i is None else i for i in ids], np.int64)
+                part = part.select(columns)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=options) as out:
                     out.write_batch(part)
                 lines = pack_arrays(order, *encode_lines(text.slice(at, end - at).to_pylist()))
                 yield pa.RecordBatch.from_pydict({"chunk": [chunk], "rows": [sink.getvalue().to_pybytes()], "lines": [lines]}, pa.schema([("chunk", pa.int64()), ("rows", pa.binary()), ("lines", pa.binary())]))
                 chunk, at = chunk + 1, end
+                give_back()
 
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.col(text_col).cast("string")})
+    columns, place = list(range(len(docs.columns))), docs.columns.index(text_col)  # by place: names may clash
+    rows = docs.withColumn(text_col, F.col(text_col).cast("string")).select("*", F.col(id_col).cast("long").alias("_id"))
     return rows.mapInArrow(run, "chunk long, rows binary, lines binary")
 
 
-def _once(docs: DataFrame, size: int, keep: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    n_words, n_posts = n_buckets(size // 32), n_buckets(size // 32)
+def line_dedup(docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", keep: int = K) -> DataFrame:
+    """The rows of docs with later matches taken out of the text; and _n_lines, _n_removed, _n_left (lines with words that stay)."""
+    total = text_bytes(docs, text_col)
+    n = n_buckets(total // 32)
+    drop = np.uint64(max(0, 64 - (max(1, total // 32).bit_length() + 18)))
     chunks = encoded(docs, id_col, text_col)
 
     def frame(rows) -> pd.DataFrame:
+        give_back()
         return pd.DataFrame(rows, columns=["bucket", "chunk", "payload"])
 
-    def heard(said: pd.DataFrame) -> list[tuple[int, bytes]]:
-        return list(zip(said["bucket"].tolist(), said["payload"].tolist()))
-
     def at_chunk(step):
-        return lambda part, said: frame(step(int(part["chunk"].iloc[0]), Lines(part["lines"].iloc[0]), heard(said)) if len(part) else [])
+        def run(part: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+            return frame(step(int(part["chunk"].iloc[0]), Lines(part["lines"].iloc[0]), list(zip(said["bucket"].tolist(), said["payload"].tolist()))) if len(part) else [])
+
+        return run
 
     def meet(said: DataFrame, step) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(at_chunk(step), ASK_SCHEMA)
 
-    asks = chunks.groupBy("chunk").applyInPandas(lambda part: frame(ask_words(int(part["chunk"].iloc[0]), Lines(part["lines"].iloc[0]), n_words)), ASK_SCHEMA)
+    asks = chunks.groupBy("chunk").applyInPandas(lambda part: frame(ask_words(int(part["chunk"].iloc[0]), Lines(part["lines"].iloc[0]), n, drop)), ASK_SCHEMA)
     words = asks.groupBy("bucket").applyInPandas(lambda got: frame(answer_words(got)), ASK_SCHEMA)
-    posts = meet(words, lambda chunk, lines, said: post(chunk, lines, said, n_posts, num, den))
-    pairs = posts.groupBy("bucket").applyInPandas(lambda got: frame(match(got, keep, num, den)), ASK_SCHEMA)
-    shown = meet(pairs, show)
+    posts = meet(words, lambda chunk, lines, said: post(chunk, lines, said, n, drop, num, den))
+    shown = meet(posts.groupBy("bucket").applyInPandas(lambda got: frame(match(got, keep, num, den)), ASK_SCHEMA), show)
+    settled = meet(shown, lambda chunk, lines, said: settle(chunk, lines, said, num, den))
+    again = posts.groupBy("bucket").cogroup(settled.groupBy("bucket")).applyInPandas(lambda got, only: frame(match(got, keep, num, den, only)), ASK_SCHEMA)
+    last = meet(again, show)
     columns = docs.columns
     place = columns.index(text_col)
-    out_schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in ("_n_lines", "_n_removed", "_n_left", "_open"))])
+    out_schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in ("_n_lines", "_n_removed", "_n_left"))])
     pa_schema = to_arrow_schema(out_schema)
 
     def clean(part: pa.Table, said: pa.Table) -> pa.Table:
         if not part.num_rows:
             return pa_schema.empty_table()
         lines = Lines(part.column("lines")[0].as_py())
-        gone, open_ = decide(lines, list(zip(said.column("bucket").to_pylist(), said.column("payload").to_pylist())), num, den)
+        heard = list(zip(said.column("bucket").to_pylist(), said.column("payload").to_pylist()))
+        gone = own_flags(heard).view(bool) | verified(lines, heard, num, den)[0]
         rows = pa.ipc.open_stream(part.column("rows")[0].as_buffer()).read_all()
         texts, at, counts = [], 0, []
-        for text, n in zip(rows.column("_text").to_pylist(), lines.n_lines):
-            own = slice(at, at + n)
+        for text, n_lines in zip(rows.column(place).to_pylist(), lines.n_lines):
+            own = slice(at, at + n_lines)
             lost = int(gone[own].sum())
-            counts.append((int(n), lost, int((lines.size[own] > 0).sum()) - lost, int(open_[own].sum())))
+            counts.append((int(n_lines) if text else 0, lost, int((lines.size[own] > 0).sum()) - lost))
             texts.append("\n".join(x for x, g in zip(text.split("\n"), gone[own]) if not g) if lost else text)
-            at += n
+            at += n_lines
         arrays = [pa.array(texts, pa.string()) if k == place else rows.column(k) for k in range(len(columns))]
-        arrays += [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
+        arrays += [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
         return pa.Table.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, pa_schema)], schema=pa_schema)
 
-    return chunks.groupBy("chunk").cogroup(shown.groupBy("chunk")).applyInArrow(clean, out_schema)
-
-
-def line_dedup(docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", keep: int = K) -> DataFrame:
-    """The rows of docs with later matches taken out of the text; and _n_lines, _n_removed, _n_left (lines with words that stay)."""
-    import uuid
-
-    spark = docs.sparkSession
-    size = text_bytes(docs, text_col)
-    while True:
-        path = f"{scratch_dir(spark)}/wakeline-lines-{uuid.uuid4().hex}"
-        out = _once(docs, size, keep, num, den, id_col, text_col)
-        out.write.option("compression", "zstd").parquet(path)
-        done = spark.read.schema(out.schema).parquet(path)
-        if not done.agg(F.sum("_open")).first()[0]:
-            return done.drop("_open")
-        keep *= 16
+    return chunks.groupBy("chunk").cogroup(last.groupBy("chunk")).applyInArrow(clean, out_schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,3 +485,21 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_line_dedup": op8_line_dedup}
+SQL = {
+    "op8_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')),
+s AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, k) AS id,
+    list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS s FROM l),
+t AS (SELECT id, len(s) AS n, unnest(s) AS word FROM s),
+f AS (SELECT word, count(*) AS df FROM t GROUP BY word),
+o AS (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY df, word) AS place FROM t JOIN f USING (word)),
+x AS (SELECT * FROM o WHERE place <= n - (8 * n + 9) // 10 + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.word = b.word AND b.id < a.id AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+v AS (SELECT a, len(p.s) + len(q.s) AS both, len(list_intersect(p.s, q.s)) AS common FROM c JOIN s p ON p.id = a JOIN s q ON q.id = b),
+gone AS (SELECT DISTINCT a AS id FROM v WHERE 10 * common >= 8 * (both - common)),
+r AS (
+  SELECT s.doc_id, count(*) AS n_lines, count(gone.id) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (gone.id IS NULL), '') AS text
+  FROM s LEFT JOIN gone USING (id) GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(r.text, d.text) AS text FROM documents d LEFT JOIN r USING (doc_id)"""
+}

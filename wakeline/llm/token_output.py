@@ -90,7 +90,7 @@ def matrix(segments: list[tuple[int | None, int, np.ndarray]], width: int, pad_i
 
 
 def token_output(docs: DataFrame, json_file: str, width: int = 2048, end_id: int = 50256, pad_id: int = 50256, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The packed matrix.  window_key and row together name a row; window_key is a checksum of the window's segments.
+    """The packed matrix.  window_key and row together name a row; window_key is the task's first id and its number.
     input_ids and position_ids hold `width` little-endian numbers, of 16 bits if the vocabulary and width allow, else 32; n_tokens of them are no padding."""
 
     def run(batches):
