@@ -17,18 +17,19 @@ row gives one row.  Other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import documents, id_crc_mod, mix
+from wakeline.llm.common import documents, give_back, id_crc_mod, mix
 
 BUCKETS = 1 << 17
 NGRAMS = (1, 2, 3, 4)
 LEXICON = 2000
-MEMORY = 400_000
+MEMORY = 300_000
 #: Words that one forward-backward run holds.
 BATCH_WORDS = 1_000_000
 UNDETERMINED = "und"
@@ -86,49 +87,65 @@ class Crf:
                 out[:, k] = np.bincount(word, self.weights[feats, k], len(words))
         return out
 
-    def forward_backward(self, seqs: list[np.ndarray], score: np.ndarray):
-        """For sequences of word numbers (longest first): the place of each (sequence, position), step by step, and the label
-        probabilities there; with them the expected moves and the log of the normalising sum, for training."""
-        n = len(self.labels)
+    def _packed(self, seqs: list[np.ndarray]):
+        """Word numbers step by step: those at step t are `active[t]` from `first[t]` on."""
         length = np.array([len(s) for s in seqs])
         steps = int(length[0])
         active = len(seqs) - np.searchsorted(length[::-1], np.arange(steps), side="right")
         first = np.cumsum(active) - active
-        packed = np.empty(int(length.sum()), np.int64)
+        packed = np.empty(int(length.sum()), np.int32)
         for i, s in enumerate(seqs):
             packed[first[: len(s)] + i] = s
-        peak = score.max(axis=1, keepdims=True)
-        local = np.exp(score - peak)[packed]
-        move = np.exp(self.moves - self.moves.max())
-        alpha, beta = np.empty((len(packed), n)), np.empty((len(packed), n))
+        return packed, first, active
+
+    def _forward(self, packed, first, active, local, move) -> np.ndarray:
+        alpha = np.empty((len(packed), len(self.labels)))
         a = np.exp(self.start - self.start.max())
-        for t in range(steps):
-            o, m = first[t], active[t]
-            a = (a[:m] @ move if t else np.broadcast_to(a, (m, n))) * local[o : o + m]
+        for t, (o, m) in enumerate(zip(first, active)):
+            a = (a[:m] @ move if t else np.broadcast_to(a, (m, len(a)))) * local[packed[o : o + m]]
             a /= a.sum(axis=1, keepdims=True)
             alpha[o : o + m] = a
-        pairs = np.zeros((n, n))
-        b = np.empty((0, n))
-        for t in range(steps - 1, -1, -1):
+        return alpha
+
+    def forward_backward(self, seqs: list[np.ndarray], score: np.ndarray, each=None) -> np.ndarray:
+        """Label probabilities of the words of sequences of word numbers (longest first), summed by sequence.  `each(t, o, m, gamma, ahead)` is told of
+        every step, backwards: its place, its probabilities, and what flows back from the step after (None at the end)."""
+        packed, first, active = self._packed(seqs)
+        local, move = np.exp(score - score.max(axis=1, keepdims=True)), np.exp(self.moves - self.moves.max())
+        alpha = self._forward(packed, first, active, local, move)
+        mass = np.zeros((len(seqs), len(self.labels)))
+        b = None
+        for t in range(len(first) - 1, -1, -1):
             o, m = first[t], active[t]
-            now = np.ones((m, n))
-            if len(b):
-                k = len(b)
-                ahead = b * local[first[t + 1] : first[t + 1] + k]
-                now[:k] = ahead @ move.T
-                now[:k] /= now[:k].sum(axis=1, keepdims=True)
-                both = alpha[o : o + k, :, None] * move * ahead[:, None, :]
-                pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if self.training else 0
-            beta[o : o + m] = b = now
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        return packed, first, active, gamma, pairs
-
-    training = False
+            now, ahead = np.ones((m, len(self.labels))), None
+            if b is not None:
+                ahead = b * local[packed[first[t + 1] : first[t + 1] + len(b)]]
+                now[: len(b)] = ahead @ move.T
+                now /= now.sum(axis=1, keepdims=True)
+            gamma = alpha[o : o + m] * now
+            gamma /= gamma.sum(axis=1, keepdims=True)
+            mass[:m] += gamma
+            if each:
+                each(t, o, m, gamma, None if ahead is None else (alpha[o : o + len(b), :, None], move, ahead[:, None, :]))
+            b = now
+        return mass
+
+    def expectations(self, seqs: list[np.ndarray], score: np.ndarray):
+        """Packed word numbers, first places, label probabilities at each place, and expected moves: what training needs."""
+        packed, first, _ = self._packed(seqs)
+        gammas, pairs = np.empty((len(packed), len(self.labels))), np.zeros((len(self.labels),) * 2)
+
+        def each(t, o, m, gamma, flow):
+            gammas[o : o + m] = gamma
+            if flow is not None:
+                both = flow[0] * flow[1] * flow[2]
+                pairs[:] += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+
+        self.forward_backward(seqs, score, each)
+        return packed, first, gammas, pairs
 
     def fit(self, seqs: list[tuple[np.ndarray, np.ndarray]], words: list[str], rounds: int, batch: int, rate: float, rng) -> None:
         """AdaGrad on the log-likelihood of label sequences."""
-        self.training = True
         n = len(self.labels)
         sums = [np.full(self.weights.shape, 1e-6, np.float32), np.full((n, n), 1e-6), np.full(n, 1e-6)]
         for _ in range(rounds):
@@ -140,7 +157,7 @@ class Crf:
                 local = np.split(number, ends[:-1])
                 feats, word = self.features([words[i] for i in used])
                 score = np.stack([np.bincount(word, self.weights[feats, k], len(used)) for k in range(n)], axis=1)
-                packed, first, _, gamma, pairs = self.forward_backward(local, score)
+                packed, first, gamma, pairs = self.expectations(local, score)
                 true = np.empty(len(packed), np.int64)
                 for i, (_, y) in enumerate(part):
                     true[first[: len(y)] + i] = y
@@ -157,7 +174,6 @@ class Crf:
                 for own, g, s in ((self.moves, moves / len(part), sums[1]), (self.start, start / len(part), sums[2])):
                     s += g**2
                     own += rate * g / np.sqrt(s)
-        self.training = False
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -202,16 +218,15 @@ class Predictor:
         self.crf, self.index = crf, {}
         self.score = np.empty((0, len(crf.labels) if crf else 0))
 
-    def _number(self, docs: list[list[str]]) -> list[np.ndarray]:
-        if len(self.index) > MEMORY:
-            self.index, self.score = {}, self.score[:0]
-        index, known = self.index, len(self.index)
-        out = [np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)) for words in docs]
-        if len(index) > known:
-            fresh = list(index)[known:]
-            parts = [self.crf.scores(fresh[i : i + 50_000]) for i in range(0, len(fresh), 50_000)]
-            self.score = np.concatenate([self.score, *parts])
-        return out
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of words; scores of new ones are made by `learn`."""
+        index = self.index
+        return np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))
+
+    def learn(self) -> None:
+        fresh = list(islice(self.index, len(self.score), None))
+        parts = [self.crf.scores(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000)]
+        self.score = np.concatenate([self.score, *parts])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
@@ -229,16 +244,15 @@ class Predictor:
         return out
 
     def _run(self, texts: list, held: list[int], out: list) -> None:
-        docs = [letter_words(texts[i]) for i in held]
-        some = sorted((k for k, d in enumerate(docs) if d), key=lambda k: -len(docs[k]))
+        if len(self.index) > MEMORY:
+            self.index, self.score = {}, self.score[:0]
+        docs = [self.numbers(letter_words(texts[i])) for i in held]
+        self.learn()
+        some = sorted((k for k, d in enumerate(docs) if len(d)), key=lambda k: -len(docs[k]))
         if not some:
             return
-        seqs = self._number([docs[k] for k in some])
-        _, first, active, gamma, _ = self.crf.forward_backward(seqs, self.score)
-        mass = np.zeros((len(seqs), len(self.crf.labels)))
-        for o, m in zip(first, active):
-            mass[:m] += gamma[o : o + m]
-        mass /= np.array([len(s) for s in seqs])[:, None]
+        mass = self.crf.forward_backward([docs[k] for k in some], self.score)
+        mass /= np.array([len(docs[k]) for k in some])[:, None]
         best = mass.argmax(axis=1)
         for k, b, p in zip(some, best, mass.max(axis=1)):
             out[held[k]] = (self.crf.labels[b], float(min(1.0, p)))
@@ -256,7 +270,9 @@ def train(docs: DataFrame, per_lang: int = 300, folds: int = 5, id_col: str = "d
         least = min(per_lang * 2**64 // n, 2**64 - 1) - 2**63
         bound = F.when(F.col("lang") == lang, F.lit(least)).otherwise(bound)
     sample = rows.filter(F.xxhash64("doc_id") <= bound).select("lang", "text")
-    return fit([(r["lang"], r["text"]) for r in sample.collect()])
+    crf = fit([(r["lang"], r["text"]) for r in sample.collect()])
+    give_back()
+    return crf
 
 
 def language_id(docs: DataFrame, crf: Crf | None, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,6 +284,7 @@ def language_id(docs: DataFrame, crf: Crf | None, folds: int = 5, id_col: str =
         for b in batches:
             got = predict(list(b["text"]))
             yield b.drop(columns="text").assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc_mod(id_col, folds) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -282,6 +299,7 @@ def accepted(docs: DataFrame, crf: Crf | None, least: float = 0.4) -> DataFrame:
         for b in batches:
             got = predict(list(b["text"]))
             yield b[[g[0] != UNDETERMINED and g[1] >= least for g in got]]
+            give_back()
 
     return docs.mapInPandas(run, docs.schema)
 
