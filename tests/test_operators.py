@@ -57,6 +57,20 @@ def test_pieces_and_concatenation(spark):
     assert [c["x"] for c in whole.coords] == [0, 1, 2, 3, 4] and whole.valid
 
 
+@pytest.mark.parametrize("rule", [SplitRule(None, 3, op="<="), SplitRule(900.0, 4, "haversine"), SplitRule(900.0, 2, "haversine", combine="or")])
+def test_segments_in_parts(spark, rule):
+    rows = []
+    for ship in range(4):
+        t = RNG.uniform(-50, 50)
+        for i in range(80):
+            t += RNG.choice([0, 0.5, 1, 2.5, 3, 5, 40])
+            rows.append((ship, i, 8 + RNG.uniform(0, 0.02), 56 + RNG.uniform(0, 0.02), t))
+    df = spark.createDataFrame(rows, "mmsi int, pos long, x double, y double, m double")
+    want = sorted(map(tuple, seg.segment(df, rule).collect()))
+    for width in (7, 100, 1e6):
+        assert sorted(map(tuple, seg.segment_in_parts(df, rule, width).collect())) == want
+
+
 def test_violations(spark):
     df = track(spark, [(0, 0, m) for m in (1, 3, 2, 2, 1)])
     assert seg.violations(df).first().n_violations == 2

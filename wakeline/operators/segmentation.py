@@ -62,6 +62,27 @@ def segment(points: DataFrame, rule: SplitRule = SplitRule(), key=KEY, order=ORD
     return out.withColumn("seg_id", seg).drop("step_s", "step_m")
 
 
+def segment_in_parts(points: DataFrame, rule: SplitRule, width: float, key=KEY, order=ORDER) -> DataFrame:
+    """What `segment` gives, for trajectories too long for one task: time is cut into parts of `width` seconds and rows are dealt by (key, part).
+    Only a row for each part (its first and last vertex, its number of cuts) is brought together by key."""
+    rows = points.withColumn("_part", F.floor(F.col("m") / F.lit(width)))
+    vertex = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], "m", "x", "y")
+    ends = rows.groupBy(*key, "_part").agg(F.max(vertex).alias("_last"))
+    before = F.lag("_last").over(_window(key, ["_part"]))
+    ends = ends.select(*key, "_part", before["m"].alias("_bm"), before["x"].alias("_bx"), before["y"].alias("_by"))
+    w = _window((*key, "_part"), order)
+    prior = lambda c, b: F.coalesce(F.lag(c).over(w), F.col(b))
+    out = rows.join(ends, [*key, "_part"]).withColumns({"_pm": prior("m", "_bm"), "_px": prior("x", "_bx"), "_py": prior("y", "_by")})
+    metres = METRICS[rule.metric]("_px", "_py", "x", "y") if rule.metres is not None else None
+    keeps = F.coalesce(rule.keeps(metres, F.col("m") - F.col("_pm")), F.lit(False))
+    out = out.withColumn("_new", F.when(F.col("_pm").isNull() | ~keeps, 1).otherwise(0))
+    out = out.withColumn("_own", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = out.groupBy(*key, "_part").agg(F.sum("_new").alias("_n"))
+    so_far = F.coalesce(F.sum("_n").over(_window(key, ["_part"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*key, "_part", so_far.alias("_before"))
+    return out.join(sums, [*key, "_part"]).select(*points.columns, (F.col("_own") + F.col("_before") - 1).alias("seg_id"))
+
+
 def summaries(segments: DataFrame, key=KEY) -> DataFrame:
     """n_points, m_first, m_last of every segment."""
     return segments.groupBy(*key, "seg_id").agg(F.count("*").alias("n_points"), F.min("m").alias("m_first"), F.max("m").alias("m_last"))

@@ -73,6 +73,11 @@ def seg_haversine(spark, sf_dir):
     return seg.summaries(seg.segment(view.points(spark, sf_dir), _BOTH))
 
 
+@query(_cut(f"{_haversine('px', 'py', 'x', 'y')} < {METRES} AND step_s < {SECONDS}") + " SELECT event_id, mmsi, seg_id FROM s")
+def seg_in_parts(spark, sf_dir):
+    return seg.segment_in_parts(view.points(spark, sf_dir), _BOTH, 7 * DAY_S).select("event_id", "mmsi", "seg_id")
+
+
 @query(_cut(f"{_haversine('px', 'py', 'x', 'y')} <= {METRES} OR step_s <= {SECONDS}") + _SUMMARY)
 def seg_either(spark, sf_dir):
     return seg.summaries(seg.segment(view.points(spark, sf_dir), SplitRule(METRES, SECONDS, "haversine", "<=", "or")))
