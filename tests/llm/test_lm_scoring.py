@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from wakeline.llm import common, lm_scoring
-from wakeline.llm.ngram_trie import EliasFano, mapped, quantise
+from wakeline.llm.ngram_trie import EliasFano, Trie, mapped, quantise
 
 RNG = random.Random(6)
 
@@ -23,7 +23,7 @@ def test_elias_fano():
     assert (EliasFano(*EliasFano.encode(np.empty(0, np.uint64))).successor(np.array([0, 7], np.uint64)) == 0).all()
 
 
-def test_trie():
+def test_trie(tmp_path):
     rng = np.random.default_rng(2)
     pairs = np.unique(rng.integers(0, 40 * 30, 300))
     context, word = np.divmod(pairs, 30)
@@ -35,6 +35,9 @@ def test_trie():
     table, own = dict(zip(zip(context, word), code)), dict(zip(np.unique(context), back))
     assert [table.get(k, 0) for k in zip(c, w)] == codes.tolist()
     assert [own.get(k, 0) for k in c] == backs.tolist()
+    path = tmp_path / "trie"
+    path.write_bytes(Trie.pack(context, word, 30, code, back))
+    assert all((a == b).all() for a, b in zip(Trie.open(str(path)).lookup(c, w), (codes, backs)))
     none = np.empty(0, np.int64)
     assert mapped(none, none, 0, none.astype(np.uint8), none.astype(np.uint8)).lookup(c, w)[0].sum() == 0
 

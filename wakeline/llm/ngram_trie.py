@@ -2,14 +2,12 @@
 
 Level one holds the contexts and, for each, a pointer to its first successor; level two the successors.  Successor j of context i is
 stored as i * words + j, which makes the whole level one monotone sequence: a lookup is a successor search for
-the word relative to its context's part of it.  All levels lie in one file that is memory-mapped.
+the word relative to its context's part of it.  All levels lie in one memory map.
 """
 
 from __future__ import annotations
 
 import mmap
-import os
-import tempfile
 
 import numpy as np
 
@@ -81,12 +79,10 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Trie:
     """contexts (sorted ids), successors of each, their quantised log-probabilities and the contexts' back-offs."""
 
-    NAMES = ("contexts", "pointers", "successors")
-
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        head = np.frombuffer(self._map, np.int64, 16)
+    def __init__(self, levels):
+        """`levels`: anything with the bytes of `pack`, such as a memory map."""
+        self._map = levels
+        head = np.frombuffer(levels, np.int64, 16)
         self.words, at, parts = int(head[0]), 128, []
         for k in range(3):
             n, low, a, b = (int(v) for v in head[1 + 4 * k : 5 + 4 * k])
@@ -99,7 +95,7 @@ class Trie:
         self.back = np.frombuffer(self._map, np.uint8, self.contexts.n, at + self.successors.n)
 
     @staticmethod
-    def write(path: str, context: np.ndarray, word: np.ndarray, words: int, codes: np.ndarray, back: np.ndarray) -> None:
+    def pack(context: np.ndarray, word: np.ndarray, words: int, codes: np.ndarray, back: np.ndarray) -> bytes:
         """(context, word) sorted and distinct, all words below `words`; a code for each and for each distinct context."""
         contexts, first = np.unique(context, return_index=True)
         number = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(context)))).astype(np.uint64)
@@ -109,8 +105,13 @@ class Trie:
             n, low, lows, highs = EliasFano.encode(values)
             head += [n, low, len(lows), len(highs)]
             body += lows.tobytes() + highs.tobytes() + bytes(-len(highs) % 8)
-        with open(path, "wb") as f:
-            f.write(np.array(head + [0] * (16 - len(head)), np.int64).tobytes() + body + codes.tobytes() + back.tobytes())
+        return np.array(head + [0] * (16 - len(head)), np.int64).tobytes() + body + codes.tobytes() + back.tobytes()
+
+    @classmethod
+    def open(cls, path: str) -> Trie:
+        """A trie whose bytes are in a file; only the pages that lookups touch are read."""
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code of each (context, word) pair, 0 if it isn't there; back-off code of each context, 0 if unknown."""
@@ -131,11 +132,8 @@ class Trie:
 
 
 def mapped(*parts) -> Trie:
-    """A trie in a file of its own that is gone when the trie is."""
-    fd, path = tempfile.mkstemp(suffix=".trie")
-    os.close(fd)
-    try:
-        Trie.write(path, *parts)
-        return Trie(path)
-    finally:
-        os.unlink(path)
+    """A trie in an anonymous memory map: no file, so nothing is left on an executor's disk."""
+    levels = Trie.pack(*parts)
+    where = mmap.mmap(-1, len(levels))
+    where.write(levels)
+    return Trie(where)
