@@ -496,8 +496,8 @@ f AS (SELECT word, count(*) AS df FROM t GROUP BY word),
 o AS (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY df, word) AS place FROM t JOIN f USING (word)),
 x AS (SELECT * FROM o WHERE place <= n - (8 * n + 9) // 10 + 1),
 c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.word = b.word AND b.id < a.id AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
-v AS (SELECT a, len(p.s) + len(q.s) AS both, len(list_intersect(p.s, q.s)) AS common FROM c JOIN s p ON p.id = a JOIN s q ON q.id = b),
-gone AS (SELECT DISTINCT a AS id FROM v WHERE 10 * common >= 8 * (both - common)),
+v AS (SELECT a, len(p.s) + len(q.s) AS total, len(list_intersect(p.s, q.s)) AS common FROM c JOIN s p ON p.id = a JOIN s q ON q.id = b),
+gone AS (SELECT DISTINCT a AS id FROM v WHERE 10 * common >= 8 * (total - common)),
 r AS (
   SELECT s.doc_id, count(*) AS n_lines, count(gone.id) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (gone.id IS NULL), '') AS text
   FROM s LEFT JOIN gone USING (id) GROUP BY s.doc_id)

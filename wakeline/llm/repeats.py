@@ -141,11 +141,11 @@ SQL = {
     "op2_repeated_passages": r"""
 WITH d AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(text, '[\x20\x09-\x0D]+') AS gap, regexp_matches(text, '^[\x20\x09-\x0D]') AS led FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, unnest(range(0, len(w) - 49)) AS at, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM d WHERE len(w) >= 50),
-r AS (SELECT doc_id, at FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
-i AS (SELECT doc_id, at, CASE WHEN at - lag(at) OVER (PARTITION BY doc_id ORDER BY at) <= 50 THEN 0 ELSE 1 END AS fresh FROM r),
-g AS (SELECT doc_id, at, sum(fresh) OVER (PARTITION BY doc_id ORDER BY at ROWS UNBOUNDED PRECEDING) AS g FROM i),
-p AS (SELECT doc_id, min(at) AS a, max(at) + 50 AS b FROM g GROUP BY doc_id, g),
+s AS (SELECT doc_id, unnest(range(0, len(w) - 49)) AS k, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM d WHERE len(w) >= 50),
+r AS (SELECT doc_id, k FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+i AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM i),
+p AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM g GROUP BY doc_id, g),
 c AS (
   SELECT p.doc_id, a, b, coalesce(list_sum(list_transform(w[1:a], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(gap[1:a + led::INT], lambda x: length(x))), 0) AS i,
     list_sum(list_transform(w[1:b], lambda x: length(x))) + coalesce(list_sum(list_transform(gap[1:b - 1 + led::INT], lambda x: length(x))), 0) AS j FROM p JOIN d USING (doc_id))
