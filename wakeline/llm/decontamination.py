@@ -59,15 +59,14 @@ def simhash(weighted: DataFrame, key: str) -> DataFrame:
     lanes = [F.sum(F.shiftright(F.col(k), j).bitwiseAND(F.lit(_LANES)) * F.col("n")).alias(f"{k}{j}") for k in halves for j in range(32)]
     sums = rows.groupBy(key).agg(F.sum("n").alias("total"), *lanes)
 
+    sums = sums.select(key, "total", *[F.array(*[f"{k}{j}" for j in range(32)]).alias(k) for k in halves])
+
     def bits(k: str) -> Column:
-        parts = []
-        for j in range(32):
-            for shift in (0, 32):  # the two counts that a sum holds, of bit j and of bit j + 32
-                count = F.shiftrightunsigned(F.col(f"{k}{j}"), shift).bitwiseAND(F.lit(0xFFFFFFFF))
-                parts.append(F.when(count * 2 > F.col("total"), F.shiftleft(F.lit(1).cast("long"), j + shift)).otherwise(F.lit(0).cast("long")))
-        return reduce(lambda a, b: a.bitwiseOR(b), parts)
+        # each sum holds two counts, of bit j and of bit j + 32
+        low, high = f"({k}[j] & 4294967295L)", f"shiftrightunsigned({k}[j], 32)"
+        return F.expr(f"aggregate(sequence(0, 31), 0L, (all, j) -> all | if({low} * 2 > total, shiftleft(1L, j), 0L) | if({high} * 2 > total, shiftleft(1L, j + 32), 0L))").alias(k)
 
-    return sums.select(key, "total", bits("left").alias("left"), bits("right").alias("right"))
+    return sums.select(key, "total", bits("left"), bits("right"))
 
 
 def blocks() -> Column:
@@ -101,7 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_c
     of_window, of_item = scratch(weights(windows, "window"), "weights"), scratch(weights(items, "item"), "weights")
     marks = simhash(of_window, "window").join(windows.select("window", "m"), "window")
     index = simhash(of_item, "item").join(items.select("item", "m"), "item")
-    near = F.expr(f"filter(sequence(0, 65535), x -> bit_count(x) <= {RADIUS // BLOCKS})")
+    near = F.split(F.lit(",".join(str(v) for v in range(1 << 16) if v.bit_count() <= RADIUS // BLOCKS)), ",").cast("array<int>")  # a constant
     index = index.select("item", "m", F.col("total").alias("item_total"), F.col("left").alias("item_left"), F.col("right").alias("item_right"), F.explode(blocks()).alias("b"))
     index = index.withColumn("flip", F.explode(near)).select("*", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("flip").cast("long")).alias("value")).drop("b", "flip")
     asked = marks.select("window", "m", "total", "left", "right", F.explode(blocks()).alias("b")).select("*", "b.block", "b.value").drop("b")
