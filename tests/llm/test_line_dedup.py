@@ -38,8 +38,9 @@ def corpus():
     return texts + [None, "", "\n\n", "One\nOne\n \none", "é x\r\né x", " ".join(vocabulary * 50), texts[0]]
 
 
-@pytest.mark.parametrize(("num", "den", "keep"), [(8, 10, 8), (8, 10, 1), (5, 10, 2), (9, 10, 8)])
-def test_against_brute_force(spark, monkeypatch, num, den, keep):
+@pytest.mark.parametrize(("num", "den", "keep", "spare"), [(8, 10, 8, 18), (8, 10, 1, 18), (5, 10, 2, -4), (9, 10, 8, -2)])
+def test_against_brute_force(spark, monkeypatch, num, den, keep, spare):
+    monkeypatch.setattr(ld, "SPARE_BITS", spare)  # few bits: many words share a key
     monkeypatch.setattr(common, "BUCKET_KEYS", 300)
     rows = [((i * 37) % 1000, t) for i, t in enumerate(corpus())] + [(None, "w1 w2 w3\nnew line here")]
     docs = spark.createDataFrame([(i, t, "x", [1]) for i, t in rows], "doc_id long, text string, chunk string, lines array<int>").repartition(4)

@@ -34,7 +34,9 @@ from wakeline.llm.common import ASK_SCHEMA, CHUNK_BYTES, bucket_of, byte_words,
 #: Candidates that a line keeps in a bucket at first.
 K = 4
 #: Lines with more words than this have sketches of four times as many bits, and again.
-FOLDS = (64, 256, 1024)
+FOLDS = (96, 384, 1536)
+#: Bits of a word's key beyond those that number all words: two words share a key about once in 2 ** SPARE_BITS words.
+SPARE_BITS = 18
 #: Bytes of text that are split into words at once.
 SPLIT = 1 << 20
 
@@ -183,8 +185,9 @@ def post(chunk: int, lines: Lines, said: list[tuple[int, bytes]], n: int, drop:
     line, r, place, size = line[keep], r[keep], place[keep], size[keep]
     word = lines.hashes[rare[r]]
     sketches = Sketches.of(lines, np.unique(line))
+    word >>= drop  # words that then look alike only make more candidates, which are verified
     to = np.argsort(word)
-    edges = _edges(word[to], n)
+    edges = _edges(word[to] << drop, n)
     for b, (i, j) in enumerate(zip(edges, edges[1:])):
         if j > i:
             k = to[i:j]
@@ -272,7 +275,7 @@ def join_lists(word, size, place, sketch: Folded, rank, owner, keep: int, num: i
         swap = rank[i] < rank[j]
         x, y = np.where(swap, j, i), np.where(swap, i, j)
         ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
-        ok &= count[owner[x]] <= keep  # one beyond tells that there are more
+        ok &= (count[owner[x]] <= keep) & (owner[x] != owner[y])  # one beyond tells that there are more
         if wanted is not None:
             ok &= wanted[owner[x]]
         x, y, most = x[ok], y[ok], (both - 2 * need)[ok]
@@ -288,13 +291,10 @@ def join_lists(word, size, place, sketch: Folded, rank, owner, keep: int, num: i
 
 
 def by_word_and_size(word: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Order by word, then size: by one key if that tells all words apart."""
-    key = word & ~np.uint64(0xFFFF) | np.minimum(size, 0xFFFF).astype(np.uint64)
-    order = np.argsort(key)
-    high, own = key[order] >> np.uint64(16), word[order]
-    if len(size) and (size.max() > 0xFFFF or ((high[1:] == high[:-1]) & (own[1:] != own[:-1])).any()):
+    """Order by word, then size: by one key if both fit."""
+    if len(size) and (int(word.max()) >> 48 or size.max() > 0xFFFF):
         return np.lexsort((size, word))
-    return order
+    return np.argsort(word << np.uint64(16) | size.astype(np.uint64))
 
 
 def match(got: pd.DataFrame, keep: int, num: int, den: int, only: pd.DataFrame | None = None) -> list[tuple[int, int, bytes]]:
@@ -430,7 +430,7 @@ def line_dedup(docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc_
     """The rows of docs with later matches taken out of the text; and _n_lines, _n_removed, _n_left (lines with words that stay)."""
     total = text_bytes(docs, text_col)
     n = n_buckets(total // 32)
-    drop = np.uint64(max(0, 64 - (max(1, total // 32).bit_length() + 18)))
+    drop = np.uint64(max(0, 64 - (max(1, total // 32).bit_length() + SPARE_BITS)))
     chunks = encoded(docs, id_col, text_col)
 
     def frame(rows) -> pd.DataFrame:
