@@ -199,7 +199,7 @@ def id_crc_mod(col: str, m: int):
 class Words:
     """The words of a chunk's texts, one array after the other: number of each word, where each text starts and how long it is."""
 
-    def __init__(self, texts, split: Callable[[str | None], list[bytes]] = ascii_words):
+    def __init__(self, texts, split: Callable[[str | None], list[bytes]]):
         ids = WordIds()
         parts = []
         for t in texts:
@@ -211,14 +211,6 @@ class Words:
         self.distinct = word_hashes(list(ids))
         self.ids = ids
 
-    def hashes(self) -> np.ndarray:
-        return self.distinct[self.at] if len(self.at) else np.empty(0, np.uint64)
-
-    def inside(self, n: int) -> np.ndarray:
-        """Which positions start n words of one text."""
-        left = np.repeat(self.start + self.size, self.size) - np.arange(len(self.at))
-        return left >= n
-
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -263,6 +255,29 @@ def byte_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[end] - sums[start]) * _tables[1][start] + (end - start).astype(np.uint64)), start
 
 
+class WordRuns:
+    """Hashes of the words of a chunk's texts, one text after the other: where each text starts and how many it has."""
+
+    def __init__(self, texts, lower: bool, split_bytes: int = 1 << 20):
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        hashes, sizes, held, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], 0
+        for k, d in enumerate(data):
+            held.append(d.lower() if lower else d)  # of bytes: A-Z only
+            size += len(d) + 1
+            if size >= split_bytes or k == len(data) - 1:
+                found, start = byte_words(b"\n".join(held))
+                ends = np.cumsum([len(h) + 1 for h in held])
+                hashes.append(found)
+                sizes.append(np.diff(np.searchsorted(start, ends), prepend=0))
+                held, size = [], 0
+        self.hash, self.size = np.concatenate(hashes), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
+
+    def inside(self, n: int) -> np.ndarray:
+        """Which places start n words of one text."""
+        return np.repeat(self.start + self.size, self.size) - np.arange(len(self.hash)) >= n
+
+
 def send_counts(chunk: int, keys: np.ndarray, counts: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
     """Blobs of sorted distinct keys with counts, one for each bucket that gets a key."""
     edges = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))

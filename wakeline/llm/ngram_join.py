@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import Rolling, Words, ask, chunked, documents, mix, n_buckets, pack_arrays, scratch, send_counts, sum_counts, text_bytes, unpack_arrays
+from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, mix, n_buckets, pack_arrays, scratch, send_counts, sum_counts, text_bytes, unpack_arrays
 
 #: Entries of a list that one part holds, about.
 LIST = 4096
@@ -35,8 +35,8 @@ class Shingles:
     """Distinct shingles of each text of a chunk: hashes, one text after the other, and how many each has."""
 
     def __init__(self, texts, n: int):
-        w = Words(texts)
-        roll = Rolling(w.hashes())
+        w = WordRuns(texts, lower=True)
+        roll = Rolling(w.hash)
         at = np.flatnonzero(w.inside(n))
         owner = np.repeat(np.arange(len(w.size)), w.size)[at] if len(at) else np.empty(0, np.int64)
         hashes = roll.runs(at, n)

@@ -21,25 +21,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import Rolling, Words, ask, chunked, documents, n_buckets, own_row, pack_arrays, send_counts, sum_counts, text_bytes, unpack_arrays
+from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, n_buckets, own_row, pack_arrays, send_counts, sum_counts, text_bytes, unpack_arrays
 
 SPAN, GRAM = 16, 8
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
-def plain_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 class Suffixes:
     """The windows of a chunk, the kept suffix of each, and the sorted distinct hashes of the suffixes."""
 
     def __init__(self, texts, min_words: int):
-        self.words = Words(texts, plain_words)
-        self.roll, self.n = Rolling(self.words.hashes()), min_words
+        self.words = WordRuns(texts, lower=False)
+        self.roll, self.n = Rolling(self.words.hash), min_words
         self.windows = np.flatnonzero(self.words.inside(min_words))
         gram, span = min(GRAM, min_words), min(SPAN, min_words - min(GRAM, min_words) + 1)
-        rank = np.full(len(self.words.at), np.iinfo(np.uint64).max, np.uint64)
+        rank = np.full(len(self.words.hash), np.iinfo(np.uint64).max, np.uint64)
         ok = np.flatnonzero(self.words.inside(gram))
         rank[ok] = self.roll.runs(ok, gram)
         least, where, reach = rank, np.arange(len(rank)), 1
