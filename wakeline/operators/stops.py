@@ -104,13 +104,30 @@ def label_stops(points: DataFrame, config: StopConfig = StopConfig(), sog: str =
     cut = points.select("mmsi", "pos", F.col("x").cast("double"), F.col("y").cast("double"), F.col("m").cast("double"), F.col(sog).cast("double").alias("sog"), gap.cast("int").alias("_cut"))
     cut = cut.withColumn("piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["m", "pos"], kind="stable")
-        label, cluster = label_points(g["x"], g["y"], g["m"], g["sog"], config)
-        return pd.DataFrame({"mmsi": g["mmsi"], "pos": g["pos"], "piece": g["piece"], "label": label, "own": cluster})
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        """Rows of whole pieces, one after the other."""
+        new = (rows["mmsi"] != rows["mmsi"].shift()) | (rows["piece"] != rows["piece"].shift())
+        edges = [*np.flatnonzero(new.to_numpy()), len(rows)]
+        columns = [rows[c].to_numpy(float) for c in ("x", "y", "m", "sog")]
+        parts = [label_points(*(c[i:j] for c in columns), config) for i, j in zip(edges, edges[1:])]
+        return rows[["mmsi", "pos", "piece"]].assign(label=np.concatenate([p[0] for p in parts]), own=np.concatenate([p[1] for p in parts]))
+
+    def run(batches):
+        held = None  # the piece that the last batch may have cut
+        for b in batches:
+            rows = b if held is None else pd.concat([held, b], ignore_index=True)
+            last = (rows["mmsi"] == rows["mmsi"].iloc[-1]) & (rows["piece"] == rows["piece"].iloc[-1]) if len(rows) else None
+            if last is None:
+                continue
+            held = rows[last]
+            if not last.all():
+                yield label(rows[~last])
+        if held is not None and len(held):
+            yield label(held)
 
     kind = dict(points.dtypes)
-    found = cut.groupBy("mmsi", "piece").applyInPandas(run, f"mmsi {kind['mmsi']}, pos {kind['pos']}, piece bigint, label string, own bigint")
+    dealt = cut.repartition("mmsi", "piece").sortWithinPartitions("mmsi", "piece", "m", "pos")
+    found = dealt.mapInPandas(run, f"mmsi {kind['mmsi']}, pos {kind['pos']}, piece bigint, label string, own bigint")
     counts = found.groupBy("mmsi", "piece").agg((F.max("own") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("mmsi").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("mmsi", "piece", before.alias("before"))
