@@ -95,6 +95,20 @@ def test_against_brute_force(spark, monkeypatch, buckets):
         assert g[6] == pytest.approx(w[6], rel=0.01)
 
 
+@pytest.mark.parametrize("hot", [3, 40])
+def test_hot_contexts(spark, monkeypatch, hot):
+    """Spread contexts, with several salts in a shard and shards without a successor, score as if each were counted in one place."""
+    monkeypatch.setattr(common, "BUCKET_KEYS", 1500)
+    monkeypatch.setattr(lm_scoring, "chunked", lambda df, size: common.chunked(df, size, 4000))
+    rows = corpus() + [(i, "hot one " * 30 + f"hot w{i % 7}") for i in range(200, 230)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    got, want = sorted((tuple(r) for r in lm_scoring.lm_scores(docs, hot=hot).collect()), key=key), sorted(brute(rows), key=key)
+    for g, w in zip(got, want, strict=True):
+        assert g[:5] == w[:5]
+        assert g[6] == pytest.approx(w[6], rel=0.01)
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, None)], "doc_id long, text string")
     assert lm_scoring.lm_scores(docs).first().n_tokens == 1

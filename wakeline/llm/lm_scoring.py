@@ -6,8 +6,9 @@ The quantised log10 of c(v w) / (c(v) + t(v)) and t(v) / (c(v) + t(v)) are what
 The model is sharded, so it may grow with the corpus.  Texts are dealt once into chunks.  A chunk sends the
 hashes and training counts of its distinct words to the shards of the words' hashes, and gets their corpus counts
 and ids; then its distinct bigrams, with counts, to shards of their contexts, each of which builds its trie, looks up
-every chunk's bigrams and sends one byte back for each.  A context with more than `HOT` occurrences is spread over several shards by the second word
-(its t(v) is then taken as that of one shard times their number, at thousands of successors each).  Words are known by 64-bit hashes.
+every chunk's bigrams and sends one byte back for each.  A context with `HOT` occurrences or more is spread over several shards by the second word.
+A chunk that has it asks all of these, each of them once, for the distinct successors they hold, and their sum is t(v); the tries then have log10 of c(v w) / c(v) for it,
+and the chunk does the rest.  Words are known by 64-bit hashes.
 
 Null and empty texts are one token, the end.  Rows with equal ids are scored each for itself, and learned from as often as they stand there; a null id has crc32 of the empty text.
 """
@@ -53,13 +54,28 @@ class Counted:
         self.pair_counts = np.bincount(self.pair_at[learn], minlength=len(self.pairs))
         self.context, self.second = np.divmod(self.pairs, n)
 
-    def routed(self, count: np.ndarray, n_shards: int):
-        """Order of the pairs by shard, edges of the shards, and the number of shards of each pair's context."""
-        spread = 1 + count[self.context] // HOT
+    def routed(self, count: np.ndarray, n_shards: int, hot: int):
+        """Order of the pairs by shard, and edges of the shards."""
+        spread = 1 + count[self.context] // hot
         salt = (self.hashes[self.second] >> np.uint64(20)) % spread.astype(np.uint64)
-        shard = bucket_of(mix(self.hashes[self.context] + salt * np.uint64(0x9E3779B97F4A7C15)), n_shards)
+        shard = _shard(self.hashes[self.context], salt, n_shards)
         order = np.argsort(shard, kind="stable")
-        return order, np.searchsorted(shard[order], np.arange(n_shards + 1)), spread
+        return order, np.searchsorted(shard[order], np.arange(n_shards + 1))
+
+    def spread(self, count: np.ndarray, n_shards: int, hot: int):
+        """The hot contexts of the chunk, once for each shard that may hold successors of them, by shard; and edges of the shards."""
+        own = np.unique(self.context)
+        own = own[count[own] >= hot]
+        salts = 1 + count[own] // hot
+        at = np.repeat(own, salts)
+        salt = np.arange(len(at)) - np.repeat(np.cumsum(salts) - salts, salts)
+        n = len(self.hashes)
+        shard, context = np.divmod(np.unique(_shard(self.hashes[at], salt, n_shards).astype(np.int64) * n + at), n)
+        return context, np.searchsorted(shard, np.arange(n_shards + 1))
+
+
+def _shard(context: np.ndarray, salt: np.ndarray, n_shards: int) -> np.ndarray:
+    return bucket_of(mix(context + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), n_shards)
 
 
 def _count_words(got: pd.DataFrame) -> list[tuple[int, int, bytes]]:
@@ -81,36 +97,40 @@ def _hear_words(said: pd.DataFrame, n: int):
     return count, ids, int(sums[0]), int(sums[1])
 
 
-def _build_and_look_up(got: pd.DataFrame) -> list[tuple[int, int, bytes]]:
-    """Of all chunks' bigrams of a shard: its trie, and what the trie has for each of the chunks."""
+def _build_and_look_up(got: pd.DataFrame, hot: int) -> list[tuple[int, int, bytes]]:
+    """Of all chunks' bigrams of a shard: its trie, and what the trie has for each of the chunks; and how many successors the shard has of each hot context they ask for."""
     if got["bucket"].iloc[0] < 0:
         return list(got.itertuples(index=False, name=None))
-    asks = [unpack_arrays(p) for p in got["payload"]]  # contexts, pairs of each, their counts and spreads; second words, counts of the pairs
-    contexts, inverse = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
-    places = np.split(inverse, np.cumsum([len(a[0]) for a in asks])[:-1])
-    words, w_at = np.unique(np.concatenate([a[4] for a in asks]), return_inverse=True)
+    asks = [unpack_arrays(p) for p in got["payload"]]  # contexts, pairs of each, and their counts; second words, counts of the pairs; hot contexts
+    parts = [x for a in asks for x in (a[0], a[5])]
+    contexts, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+    places = np.split(inverse, np.cumsum([len(x) for x in parts])[:-1])
+    places, hot_places = places[::2], places[1::2]
+    words, w_at = np.unique(np.concatenate([a[3] for a in asks]), return_inverse=True)
     c_at = np.concatenate([np.repeat(p, a[1]) for p, a in zip(places, asks)])
     pairs, at = np.unique(c_at * len(words) + w_at, return_inverse=True)
-    n = np.bincount(at, np.concatenate([a[5] for a in asks]), len(pairs))
-    total, spread = np.zeros(len(contexts)), np.ones(len(contexts))
+    n = np.bincount(at, np.concatenate([a[4] for a in asks]), len(pairs))
+    total = np.zeros(len(contexts))
     for p, a in zip(places, asks):
-        total[p], spread[p] = a[2], a[3]
+        total[p] = a[2]
     seen = n > 0
-    context, word = np.divmod(pairs[seen], len(words))
-    kinds = np.maximum(np.bincount(context, minlength=len(contexts)) * spread, 1)
-    code, book = quantise(np.log10(n[seen] / (total + kinds)[context]))
-    back, back_book = quantise(np.log10(kinds / (total + kinds))[np.unique(context)])
+    context, word = np.divmod(pairs[seen], max(len(words), 1))
+    kinds = np.bincount(context, minlength=len(contexts))
+    whole = total + np.where(total >= hot, 0, kinds)
+    code, book = quantise(np.log10(n[seen] / whole[context]))
+    own = np.unique(context)
+    back, back_book = quantise(np.log10(kinds[own] / (total + kinds)[own]))  # chunks don't use those of hot contexts
     trie = mapped(context, word, len(words), code, back)
     out, edge = [], 0
-    for b, c, a in zip(got["bucket"], got["chunk"], asks):
-        end = edge + len(a[4])
+    for b, c, a, p in zip(got["bucket"], got["chunk"], asks, hot_places):
+        end = edge + len(a[3])
         codes, backs = trie.lookup(c_at[edge:end], w_at[edge:end])
-        out.append((b, c, pack_arrays(codes, backs[np.cumsum(a[1]) - a[1]], book, back_book)))
+        out.append((b, c, pack_arrays(codes, backs[np.cumsum(a[1]) - a[1]], book, back_book, kinds[p])))
         edge = end
     return out
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(id_col).cast("string").alias("doc_id_text"), F.col(text_col).cast("string").alias("text"))
     size = text_bytes(rows)
@@ -127,16 +147,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             return []
         c = Counted(part)
         count, ids, v, n = _hear_words(said, n_words)
-        order, edges, spread = c.routed(count, n_pairs)
+        order, edges = c.routed(count, n_pairs, hot)
+        hot_context, hot_edges = c.spread(count, n_pairs, hot)
         out = [own_row(c.chunk, pack_arrays(count, np.array([v, n])))]
         for b, (i, j) in enumerate(zip(edges, edges[1:])):
             own = order[i:j]
-            context, second = c.context[own], c.second[own]
-            own = own[(count[context] > 0)]  # no model of a context that training has not
-            if len(own):
+            own = own[count[c.context[own]] > 0]  # no model of a context that training has not
+            asked = hot_context[hot_edges[b] : hot_edges[b + 1]]
+            if len(own) or len(asked):
                 context, second = c.context[own], c.second[own]
-                distinct, first, sizes = np.unique(context, return_index=True, return_counts=True)
-                out.append((b, c.chunk, pack_arrays(ids[distinct], sizes, count[distinct], spread[own][first], ids[second], c.pair_counts[own].astype(np.int32))))
+                distinct, sizes = np.unique(context, return_counts=True)
+                out.append((b, c.chunk, pack_arrays(ids[distinct], sizes, count[distinct], ids[second], c.pair_counts[own].astype(np.int32), ids[asked])))
         return out
 
     def scores(part: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
@@ -147,14 +168,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         heard = {b: unpack_arrays(p) for b, p in zip(said["bucket"], said["payload"])}
         count, (v, n) = heard.pop(-1 - c.chunk)
         plain = (count + 1) / (n + v + 1)
-        order, edges, _ = c.routed(count, n_pairs)
-        seen, back = np.zeros(len(c.pairs)), np.ones(len(c.pairs))
-        for b, (codes, backs, book, back_book) in heard.items():
+        order, edges = c.routed(count, n_pairs, hot)
+        hot_context, hot_edges = c.spread(count, n_pairs, hot)
+        seen, back, kinds = np.zeros(len(c.pairs)), np.ones(len(c.pairs)), np.zeros(len(count))
+        for b, (codes, backs, book, back_book, hot_kinds) in heard.items():
             own = order[edges[b] : edges[b + 1]]
             own = own[count[c.context[own]] > 0]
             sizes = np.unique(c.context[own], return_counts=True)[1]
             seen[own] = np.where(codes > 0, 10.0 ** book[codes], 0.0)
             back[own] = np.repeat(np.where(backs > 0, 10.0 ** back_book[backs], 1.0), sizes)
+            kinds[hot_context[hot_edges[b] : hot_edges[b + 1]]] += hot_kinds
+        wide = np.flatnonzero(count[c.context] >= hot)
+        total, kinds = count[c.context[wide]], kinds[c.context[wide]]
+        seen[wide] *= total / (total + kinds)
+        back[wide] = kinds / (total + kinds)
         log = np.log10(seen + back * plain[c.second])
         starts, size = c.words.start, c.words.size
         base = np.add.reduceat(np.log10(plain)[c.at], starts)
@@ -164,7 +191,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         })[names]
 
     first = ask(chunks, words, _count_words)
-    second = ask(chunks, pairs, _build_and_look_up, first)
+    second = ask(chunks, pairs, lambda got: _build_and_look_up(got, hot), first)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunks.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInPandas(scores, schema)
 
