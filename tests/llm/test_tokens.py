@@ -8,6 +8,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from wakeline.llm import packing
 from wakeline.llm.packing import best_fit_packing, pack
 from wakeline.llm.token_counts import PieceCounter, token_counts
 from wakeline.llm.token_output import pack_decreasing, token_output
@@ -65,6 +66,30 @@ def test_local_search_beats_best_fit():
     assert better
 
 
+def test_local_search_tries_all_bins(monkeypatch):
+    """It stops only at the lower bound or where no bin has a step left."""
+    monkeypatch.setattr(packing, "TRIES", 1)
+    rng = random.Random(8)
+    for _ in range(60):
+        bins = packing.Bins([rng.randint(15, 50) for _ in range(60)], 100)
+        bins.best_fit()
+        bins.local_search()
+        under = [b for b, r in enumerate(bins.room) if r]
+        assert len(bins.items) == math.ceil(sum(bins.sizes) / 100) or not any(bins._step(b, x, under) for b in under for x in bins.items[b])
+
+
+def test_packing_in_shards(spark):
+    """What shards leave over is packed together, in as many rounds as it takes."""
+    rng = random.Random(9)
+    rows = [(i, 0, min(100, int(rng.expovariate(0.04)) + 1)) for i in range(1500)]
+    got = packing.place(spark.createDataFrame(rows, "doc_id long, piece int, length long"), 100, shard=50).toPandas()
+    assert sorted(zip(got["doc_id"], got["piece"], got["length"])) == rows
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 100
+    assert got["sequence_id"].nunique() <= math.ceil(got["length"].sum() / 100) + 1
+
+
 def docs(spark):
     rows = [(1, "a b c d", "x"), (2, None, None), (3, "", "y"), (3, "", "y"), (4, "word " * 5000, "z"), (None, "no id", "z")] + [(10 + i, "some words " * i, "s") for i in range(60)]
     return spark.createDataFrame(rows, "doc_id long, text string, piece string")

@@ -6,8 +6,8 @@ others, whenever that increases the sum of squared fills, until a bin is empty a
 of bins meets the lower bound ceil(sum / capacity) or no step helps.
 
 Documents are packed in shards of about `SHARD` pieces that are dealt by hash, so a worker holds a bounded number of
-lengths whatever the corpus; only (id, piece, length, checksum) are shuffled.  A shard wastes less than one sequence on
-average.  Null and empty texts are one piece, the end id alone; rows with equal ids are packed each for itself; an empty table gives an empty result.
+lengths whatever the corpus; only (id, piece, length, checksum) are shuffled.  The least filled sequences of `FAN` shards are then packed anew
+together, and those of `FAN` such groups again, until one group is left, so what is left over doesn't grow with the shards.  Null and empty texts are one piece, the end id alone; rows with equal ids are packed each for itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from wakeline.llm.tokenizer import cuts, tokenizer
 SHARD = 8192
 #: Least filled bins that one round of the local search tries to empty.
 TRIES = 64
+#: Shards whose least filled bins are packed anew together, and the pieces that each hands on, about.
+FAN, HANDED = 16, 128
 
 
 class Bins:
@@ -39,6 +41,7 @@ class Bins:
         self.sizes, self.capacity = sizes, capacity
         self.items: list[list[int]] = []
         self.room: list[int] = []
+        self.own: dict[int, list[tuple[int, int]]] = {}  # sorted (size, item) of bins, as long as they stay
 
     def best_fit(self) -> None:
         """Longest first, each into the fullest bin that still takes it."""
@@ -68,7 +71,7 @@ class Bins:
         least = math.ceil(sum(self.sizes) / self.capacity) if self.sizes else 0
         while sum(map(bool, self.items)) > least:
             under = sorted((b for b, it in enumerate(self.items) if it and self.room[b]), key=lambda b: -self.room[b])
-            if not any([self._empty(b, under) for b in under[:TRIES]]):
+            if not any([self._empty(b, under) for b in under[:TRIES]]) and not any(self._empty(b, under) for b in under[TRIES:]):
                 break
         keep = [b for b, it in enumerate(self.items) if it]
         self.items, self.room = [self.items[b] for b in keep], [self.room[b] for b in keep]
@@ -89,6 +92,8 @@ class Bins:
             self.items[other].append(x)
             self.room[other] -= into - out
             self.room[b] += into - out
+            self.own.pop(b, None)
+            self.own.pop(other, None)
             any_step = True
         return any_step
 
@@ -99,8 +104,10 @@ class Bins:
             room = self.room[o]
             if o == b or not room or not self.items[o]:
                 continue
+            if 2 * room * (self.capacity - fill) <= gain:
+                continue  # what filling it up would gain
             full = self.capacity - room
-            own = sorted((self.sizes[y], y) for y in self.items[o])
+            own = self.own.get(o) or self.own.setdefault(o, sorted((self.sizes[y], y) for y in self.items[o]))
             options = [(0, [])] if size <= room else []
             # one for one and two for one: what comes back is less than x by at most the room
             options += [(s, [y]) for s, y in own if 0 < size - s <= room]
@@ -148,27 +155,56 @@ def pieces(docs: DataFrame, json_file: str, most: int, end_id: int | None, id_co
     return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
+def least_filled(sizes: list[int], bins: list[list[int]], capacity: int, most: int) -> set[int]:
+    """The least filled bins that aren't full: as many as have `most` items together, one at least."""
+    fill = [sum(sizes[i] for i in items) for items in bins]
+    out, n = set(), 0
+    for b in sorted((b for b, f in enumerate(fill) if f < capacity), key=fill.__getitem__):
+        n += len(bins[b])
+        if out and n > most:
+            break
+        out.add(b)
+    return out
+
+
 def place(found: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
     """Add sequence_id and offset to pieces (columns doc_id, piece, length and any others)."""
     spare = found.filter(F.col("length") < capacity)
-    n = max(1, math.ceil(spare.count() / shard))
-    schema = T.StructType([*found.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-    def run(key, rows):
-        rows = rows.sort_values([c for c in ("doc_id", "piece", "length", "ids_crc32") if c in rows], kind="stable").reset_index(drop=True)
-        sizes, order, seq, off = rows["length"].tolist(), [], [], []
-        for b, items in enumerate(pack(sizes, capacity)):
-            at = 0
-            for i in items:
-                order.append(i)
-                seq.append((b * n + int(key[0])) * 2)
-                off.append(at)
-                at += sizes[i]
-        return rows.iloc[order].assign(sequence_id=seq, offset=off)
-
-    packed = spare.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(n)).alias("shard")).applyInPandas(run, schema)
+    parts = [max(1, math.ceil(spare.count() / shard))]
+    while parts[-1] > 1:
+        parts.append(math.ceil(parts[-1] / FAN))
+    schema = T.StructType([*found.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_part", "sequence_id", "offset"))])
+
+    def packed(rows: DataFrame, k: int) -> DataFrame:
+        n, rounds, fan, handed = parts[k], len(parts), FAN, HANDED
+
+        def run(key, rows):
+            part = int(key[0])
+            rows = rows.sort_values([c for c in ("doc_id", "piece", "length", "ids_crc32") if c in rows], kind="stable").reset_index(drop=True)
+            sizes, order, seq, off = rows["length"].tolist(), [], [], []
+            bins = pack(sizes, capacity)
+            on = least_filled(sizes, bins, capacity, handed) if n > 1 else ()
+            for b, items in enumerate(bins):
+                at = 0
+                for i in items:
+                    order.append(i)
+                    seq.append(-1 if b in on else ((b * n + part) * rounds + k) * 2)
+                    off.append(at)
+                    at += sizes[i]
+            return rows.iloc[order].assign(_part=part // fan, sequence_id=seq, offset=off)
+
+        return rows.groupBy("_part").applyInPandas(run, schema)
+
+    left, out = spare.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(parts[0])).cast("long")), []
+    for k in range(len(parts) - 1):
+        done = scratch(packed(left, k), "packed")
+        out.append(done.filter("sequence_id >= 0"))
+        left = done.filter("sequence_id < 0").select(*found.columns, "_part")
     full = found.filter(F.col("length") >= capacity).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
-    return packed.unionByName(full)
+    all_ = packed(left, len(parts) - 1).drop("_part")
+    for done in out:
+        all_ = all_.unionByName(done.drop("_part"))
+    return all_.unionByName(full)
 
 
 def best_fit_packing(docs: DataFrame, json_file: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
