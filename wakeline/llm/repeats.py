@@ -2,9 +2,9 @@
 
 A sparse suffix array: of the suffixes of all texts only those that start at minimiser positions are kept.  Each run of `SPAN` positions
 keeps the one whose `GRAM`-word hash is least, so equal passages keep equal suffixes, and any passage of min_words words has, in its first
-`SPAN` words, a kept suffix with at least min_words - SPAN + 1 words of the passage to follow.  Suffixes are sorted by the hash of these words in
-buckets of the hash's range and compared with their neighbours.  Those that have an equal neighbour are extended to the left, word by word, and right to
-min_words words in all, and again sorted and compared.  What is found is exact: the union of all windows of
+`SPAN` words, a kept suffix with at least min_words - SPAN + 1 words of the passage to follow.  Hashes of these words are counted in
+buckets of the hash's range; there is no order of suffixes.  In place of extending matches, all windows of min_words words that have a repeated one as their
+kept suffix are hashed and counted likewise.  But for collisions of hashes, what is found is exact: the union of all windows of
 min_words words that occur at two or more places, in one document or several.
 
 Texts are dealt once (`chunked`); chunks send distinct hashes to buckets and get one bit for each back, so a passage in a third of all documents
