@@ -86,3 +86,43 @@ def test_odd_tables(spark):
     assert fp.fingerprint_report(docs.limit(0), fp.rarity(docs.limit(0))).count() == 0
     assert fp.fingerprint_report(docs.limit(1), fp.rarity(docs)).first().near_next == 1.0
     assert fp.fingerprints(docs, fp.rarity(docs)).count() == 4
+
+
+def test_many_blocks(spark, monkeypatch):
+    """Two thousand blocks, as many as 16 GB of text make; each row still meets the next."""
+    monkeypatch.setattr(fp, "CHUNK_BYTES", 16)
+    rows = [(i, f"document {i:07d}") for i in range(2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spread = fp.in_order(docs, "doc_id", "text")
+    assert spread.agg({"block": "max"}).first()[0] > 1900
+    got = {r.doc_id: r.edited_sha256 for r in fp.fingerprint_report(docs, np.arange(fp.LEVELS)).collect()}
+    for (i, text), (_, follower) in zip(rows, rows[1:] + rows[:1]):
+        assert got[i] == hashlib.sha256(fp.edited(text, follower).encode()).hexdigest()
+
+
+def plain_likeness(a, b):
+    """Filter by filter, bit by bit."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    split = lambda v: [{k for k in range(2048) if v[i + k // 8] >> k % 8 & 1} for i in range(0, len(v), 256)]
+    x, y = sorted((split(a), split(b)), key=len) if len(a) != len(b) else (split(min(a, b)), split(max(a, b)))
+    total = 0.0
+    for s in x:
+        best = 0.0
+        for t in y:
+            chance, most = len(s) * len(t) / 2048, min(len(s), len(t))
+            cut = chance + 0.3 * (most - chance)
+            best = max(best, min(1.0, (len(s & t) - cut) / max(most - cut, 1e-9)))
+        total += best
+    return total / len(x)
+
+
+def test_likeness_is_brute_force():
+    texts = [prose(RNG.choice([0, 3, 40, 900, 2500])).encode() for _ in range(25)]
+    texts += [fp.edited(t.decode(), prose(900)).encode() for t in texts[:10]]
+    chains = fp.digests(texts, fp.ranks_of(fp.level_counts(texts)))
+    for a in chains:
+        for b in chains:
+            assert abs(fp.likeness(a, b) - plain_likeness(a, b)) < 1e-9

@@ -54,7 +54,7 @@ def corpus():
 def test_against_brute_force(spark, monkeypatch, n, num, den, part):
     monkeypatch.setattr(nj, "LIST", part)
     monkeypatch.setattr(common, "BUCKET_KEYS", 500)
-    monkeypatch.setattr(nj, "chunked", lambda df, total: common.chunked(df, total, 6000))
+    monkeypatch.setattr(common, "CHUNK_BYTES", 6000)
     rows = [(i * 7 % 1000, t) for i, t in enumerate(corpus())] + [(None, "only once in all of this"), (5, "only once in all of this")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, size int")
     got = sorted((tuple(r) for r in nj.ngram_join(docs, n, num, den).collect()), key=str)

@@ -42,7 +42,7 @@ def corpus():
 @pytest.mark.parametrize("n", [50, 20, 8])
 def test_against_brute_force(spark, monkeypatch, n):
     monkeypatch.setattr(common, "BUCKET_KEYS", 500)
-    monkeypatch.setattr(repeats, "chunked", lambda df, total: common.chunked(df, total, 3000))
+    monkeypatch.setattr(common, "CHUNK_BYTES", 3000)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, chunk string")
     got = repeats.repeated_passages(docs, n).collect()

@@ -1,7 +1,7 @@
 """Shared plumbing of the text operators: scratch tables, chunked documents and keyed exchange.
 
-Rows are never gathered on the driver.  Texts are dealt once into *chunks* of a bounded number of
-bytes (`chunked`); a chunk is the unit a Python worker holds.  Where a chunk needs to know something
+Rows are never gathered on the driver.  Texts are cut where they are read into *chunks* of a bounded number of
+bytes (`chunked`) and dealt once; a chunk is the unit a Python worker holds.  Where a chunk needs to know something
 about the whole corpus (how often a key occurs, which probability an n-gram has) it sends one blob of
 distinct, pre-aggregated keys to every *bucket* of the key space and gets one blob back (`ask`).  A hot
 key therefore reaches a bucket once per chunk, however often it occurs.
@@ -17,6 +17,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +35,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (spark.checkpoint.dir).  In local mode a temporary one if none is set; on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        current = spark.sparkContext.getCheckpointDir()
-        where = current or "file://" + tempfile.mkdtemp(prefix="wakeline-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="wakeline-")
+        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
@@ -52,16 +54,68 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def id_text(id_col: str = "doc_id"):
+    """The id as text, for Python workers: pandas would make doubles of long ids that stand beside a null, and round them."""
+    return F.col(id_col).cast("long").cast("string").alias("doc_id")
+
+
+def id_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0])
 
 
-def chunked(df: DataFrame, total: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Add `chunk` and deal the rows by it.  The chunk hangs on the row's content alone, so a
-    recomputed task finds the same rows; rows with equal ids still spread."""
-    n = max(1, math.ceil(total / chunk_bytes))
-    cols = df.columns
-    return df.withColumn("chunk", F.pmod(F.xxhash64(*cols), F.lit(n)).cast("long")).repartition(n, "chunk")
+def chunked(docs: DataFrame, total: int, make: Callable[[pa.Table], bytes], id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 0, more: dict | None = None) -> DataFrame:
+    """chunk, payload: what `make` makes of the rows (doc_id, text and the columns `more`) of each chunk of about `chunk_bytes` bytes of text, a longer text being a chunk of
+    its own.  Chunks are made where the rows are read, so equal rows spread as they lie, and dealt once.  Their names hang on the
+    partition and the place there: `docs` should be a table, or anything else that is read alike when a task runs again."""
+    most = chunk_bytes or CHUNK_BYTES
+    n = max(1, math.ceil(total / most))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def done():
+            give_back()
+            return pa.RecordBatch.from_pydict({"chunk": [chunk], "payload": [make(pa.Table.from_batches(held))]}, pa.schema([("chunk", pa.int64()), ("payload", pa.binary())]))
+
+        for batch in batches:
+            after = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                base = after[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(after, base + most - size, side="right")))
+                held.append(batch.slice(at, end - at))
+                size += int(after[end - 1] - base)
+                at = end
+                if size >= most or at < batch.num_rows:
+                    yield done()
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield done()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(k) for k, c in (more or {}).items()])
+    return rows.mapInArrow(run, "chunk long, payload binary").repartition(n, "chunk")
+
+
+def pack_table(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_table(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all()
+
+
+def exact(ids: pa.ChunkedArray) -> pd.Series:
+    """Long ids as pandas has them without rounding, null or not."""
+    return ids.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
 
 def n_buckets(keys: int) -> int:
@@ -70,22 +124,35 @@ def n_buckets(keys: int) -> int:
 
 def ask(
     chunks: DataFrame,
-    emit: Callable[[pd.DataFrame], list[tuple[int, int, bytes]]],
+    emit: Callable[..., list[tuple[int, int, bytes]]],
     answer: Callable[[pd.DataFrame], list[tuple[int, int, bytes]]],
     heard: DataFrame | None = None,
 ) -> DataFrame:
-    """One round: `emit` makes (bucket, chunk, payload) blobs of a chunk (and of what it heard in
+    """One round: `emit` makes (bucket, chunk, payload) blobs of a chunk's number and payload (and of the (bucket, payload) rows it heard in
     the round before); `answer` turns all blobs of a bucket into blobs for the chunks."""
+    return asked(chunks, emit, heard).groupBy("bucket").applyInPandas(lambda got: blobs(answer(got)), ASK_SCHEMA)
+
+
+def blobs(rows: list) -> pd.DataFrame:
+    give_back()
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "payload"])
 
-    def frame(rows: list) -> pd.DataFrame:
-        give_back()
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "payload"])
 
+def asked(chunks: DataFrame, emit: Callable[..., list[tuple[int, int, bytes]]], heard: DataFrame | None = None) -> DataFrame:
     if heard is None:
-        asks = chunks.groupBy("chunk").applyInPandas(lambda docs: frame(emit(docs)), ASK_SCHEMA)
-    else:
-        asks = chunks.groupBy("chunk").cogroup(heard.groupBy("chunk")).applyInPandas(lambda docs, said: frame(emit(docs, said)), ASK_SCHEMA)
-    return asks.groupBy("bucket").applyInPandas(lambda got: frame(answer(got)), ASK_SCHEMA)
+        return chunks.groupBy("chunk").applyInPandas(lambda part: blobs(emit(int(part["chunk"].iloc[0]), part["payload"].iloc[0])), ASK_SCHEMA)
+    return meet(chunks, heard, lambda *args: blobs(emit(*args)), ASK_SCHEMA)
+
+
+def meet(chunks: DataFrame, heard: DataFrame, step: Callable[[int, bytes, list[tuple[int, bytes]]], pd.DataFrame], schema) -> DataFrame:
+    """`step` of each chunk's number and payload and of what it heard."""
+
+    def run(part: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return blobs([]) if schema == ASK_SCHEMA else pd.DataFrame()
+        return step(int(part["chunk"].iloc[0]), part["payload"].iloc[0], list(zip(said["bucket"].tolist(), said["payload"].tolist())))
+
+    return chunks.groupBy("chunk").cogroup(heard.groupBy("chunk")).applyInPandas(run, schema)
 
 
 _given_back = 0.0
@@ -96,8 +163,6 @@ def give_back(every: float = 2.0) -> None:
     import ctypes
     import time
 
-    import pyarrow as pa
-
     global _given_back
     if time.monotonic() - _given_back < every:
         return
@@ -278,10 +343,10 @@ class WordRuns:
         return np.repeat(self.start + self.size, self.size) - np.arange(len(self.hash)) >= n
 
 
-def send_counts(chunk: int, keys: np.ndarray, counts: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
-    """Blobs of sorted distinct keys with counts, one for each bucket that gets a key."""
+def send_counts(chunk: int, keys: np.ndarray, counts: np.ndarray, n: int, all_buckets: bool = False) -> list[tuple[int, int, bytes]]:
+    """Blobs of sorted distinct keys with counts, one for each bucket that gets a key, or for each bucket."""
     edges = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
-    return [(b, chunk, pack_arrays(*pack_sorted(keys[i:j]), counts[i:j])) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+    return [(b, chunk, pack_arrays(*pack_sorted(keys[i:j]), counts[i:j])) for b, (i, j) in enumerate(zip(edges, edges[1:])) if j > i or all_buckets]
 
 
 def sum_counts(got: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

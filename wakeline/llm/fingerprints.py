@@ -8,6 +8,8 @@ shorter one to their best match in the other: bits in common, less what chance a
 
 A text shorter than a window is one feature, a text without a chosen window has its lowest window as feature.  Null counts as
 the empty text, whose fingerprint is the empty string; two empty ones are alike (1.0), an empty one and another are not (0.0).
+An empty table gives no rows; other columns are not read, whatever their names.  Texts are worked on `BLOCK` bytes at a time, but a longer one in one go:
+a worker holds some 40 bytes for each of its.
 
 `next` documents: texts are dealt once, by blocks of the id's order; a block gets the first row of the block after it as well, so each
 task streams sorted rows and holds two at a time besides its batch.  Rows with equal ids are ordered by text, null ids come first, and the
@@ -19,14 +21,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import CHUNK_BYTES, documents, mix, text_bytes
+from wakeline.llm.common import CHUNK_BYTES, documents, id_back, id_text, mix, text_bytes
 
 WINDOW, RUN, POINTS, PER_FILTER, BITS = 64, 64, 16, 160, 2048
 LEVELS = 1001
@@ -196,8 +196,8 @@ def fingerprints(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text
             chains = digests([(t or "").encode() for t in b["text"]], rank)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [base64.b64encode(c).decode() for c in chains]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fingerprint string")
+    rows = docs.select(id_text(id_col), F.col(text_col).cast("string").alias("text"))
+    return id_back(rows.mapInPandas(run, "doc_id string, fingerprint string"))
 
 
 def _block(key, bounds: list[int]):
@@ -206,7 +206,7 @@ def _block(key, bounds: list[int]):
         return F.lit(0)
     size = 1 << (len(bounds).bit_length() - 1)
     steps = F.array(*[F.lit(size >> k) for k in range(size.bit_length())])
-    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")  # a constant, however many there are
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.try_element_at(table, at + s) <= key), at + s).otherwise(at))
 
 
@@ -215,15 +215,15 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = min(MAX_BLOCKS, max(1, math.ceil(text_bytes(rows) / CHUNK_BYTES)))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    cuts = rows.agg(F.percentile_approx("doc_id", F.split(F.lit(",".join(str(k / n) for k in range(1, n))), ",").cast("array<double>"), 100 * n)).first()[0] if n > 1 else []
     rows = rows.withColumn("block", _block(key, sorted(set(cuts or [])))).withColumn("extra", F.lit(0))
     firsts = sorted((r["block"], r["first"]) for r in rows.groupBy("block").agg(F.min(key).alias("first")).collect())
     if not firsts:
         return rows.select("block", "extra", "doc_id", "text")
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    spare = rows.filter(key.isin(list(before))).groupBy(key.alias("key")).agg(F.min("text").alias("text"))
-    to = reduce(lambda c, k: F.when(F.col("key") == k, F.lit(before[k])).otherwise(c), list(before), F.lit(None).cast("int"))
-    spare = spare.select(to.alias("block"), F.lit(1).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "text")
+    # at most MAX_BLOCKS rows of 12 bytes: the first key of each block, and the block before it
+    before = docs.sparkSession.createDataFrame([(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)], "key long, block int")
+    spare = rows.select(key.alias("key"), "text").join(F.broadcast(before), "key").groupBy("key", "block").agg(F.min("text").alias("text"))
+    spare = spare.select("block", F.lit(1).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "text")
     both = rows.select("block", "extra", "doc_id", "text").unionByName(spare)
     return both.repartition(2 * n, "block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_first(), "text")
 
@@ -253,7 +253,8 @@ def fingerprint_report(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id"
                 out.append((r[2], len(r[3]), sha, base64.b64encode(r[4]).decode(), base64.b64encode(chain).decode(), likeness(r[4], chain), likeness(r[4], s[4])))
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return in_order(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = in_order(docs, id_col, text_col).select("block", "extra", id_text("doc_id"), "text")
+    return id_back(rows.mapInPandas(run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,13 @@ itself; all are hashed into `BUCKETS` weights a label.  Transitions between labe
 join spans of documents of different languages, so the chain learns how languages alternate in code-switched text.
 Forward-backward gives every word its label probabilities; a text gets the label with the highest mean, and that mean as score.
 
-The classifier is fitted on a bounded sample: `per_lang` documents of each language on average, those with the least hash of the id, taken
-whole from the rows with a language whose crc32(doc_id) mod `folds` is not 0.  Weights are a table of fixed size.  Prediction is one pass
-without a shuffle over whole texts; a worker remembers the scores of at most `MEMORY` words.
+The classifier is fitted on a bounded sample, the only thing that is collected: of each language at most `per_lang` distinct texts, those with the least hash of
+id and text, whole, and no more once they have `lang_bytes` bytes together; from the rows with a language whose crc32(doc_id) mod `folds` is not 0.
+Equal texts of a language are one of its texts, however often they stand there.  Weights are a table of fixed size.  Prediction is one pass
+without a shuffle over whole texts, of any length; a worker remembers the scores of at most `MEMORY` words.
 
-Null texts, and texts without a letter, are `und` with score 0.0; so is everything if nothing can be learned from.  Every input
-row gives one row.  Other columns are not read.
+Null texts, and texts without a letter, are `und` with score 0.0; so is everything if nothing can be learned from, as from an empty table.  Labels that are equally likely go by
+name.  Every input row gives one row, also of repeated rows and ids.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from collections import Counter
 from itertools import islice
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import documents, give_back, id_crc_mod, mix
+from wakeline.llm.common import documents, give_back, id_back, id_crc_mod, id_text, mix
 
 BUCKETS = 1 << 17
 NGRAMS = (1, 2, 3, 4)
@@ -228,7 +229,8 @@ class Predictor:
         parts = [self.crf.scores(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000)]
         self.score = np.concatenate([self.score, *parts])
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None], sure: bool = False) -> list[tuple[str, float]]:
+        """Label and score of each text; with `sure` the score is the mean of each word's highest probability, whichever its label."""
         out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
         if not self.crf:
             return out
@@ -238,12 +240,12 @@ class Predictor:
             held.append(i)
             n += size[i] // 4
             if n > BATCH_WORDS:
-                self._run(texts, held, out)
+                self._run(texts, held, out, sure)
                 held, n = [], 0
-        self._run(texts, held, out)
+        self._run(texts, held, out, sure)
         return out
 
-    def _run(self, texts: list, held: list[int], out: list) -> None:
+    def _run(self, texts: list, held: list[int], out: list, sure: bool) -> None:
         if len(self.index) > MEMORY:
             self.index, self.score = {}, self.score[:0]
         docs = [self.numbers(letter_words(texts[i])) for i in held]
@@ -251,15 +253,21 @@ class Predictor:
         some = sorted((k for k, d in enumerate(docs) if len(d)), key=lambda k: -len(docs[k]))
         if not some:
             return
-        mass = self.crf.forward_backward([docs[k] for k in some], self.score)
-        mass /= np.array([len(docs[k]) for k in some])[:, None]
+        peak = np.zeros(len(some))
+
+        def each(t, o, m, gamma, flow):
+            peak[:m] += gamma.max(axis=1)
+
+        mass = self.crf.forward_backward([docs[k] for k in some], self.score, each if sure else None)
+        size = np.array([len(docs[k]) for k in some])
+        mass /= size[:, None]
         best = mass.argmax(axis=1)
-        for k, b, p in zip(some, best, mass.max(axis=1)):
+        for k, b, p in zip(some, best, peak / size if sure else mass.max(axis=1)):
             out[held[k]] = (self.crf.labels[b], float(min(1.0, p)))
 
 
-def train(docs: DataFrame, per_lang: int = 300, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf | None:
-    """Fit on about `per_lang` documents a language that are not in fold 0."""
+def train(docs: DataFrame, per_lang: int = 300, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lang_bytes: int = 8 << 20) -> Crf | None:
+    """Fit on at most `per_lang` texts and `lang_bytes` bytes (and the text that reaches them) a language that are not in fold 0."""
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & (id_crc_mod("doc_id", folds) != 0))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -267,9 +275,14 @@ def train(docs: DataFrame, per_lang: int = 300, folds: int = 5, id_col: str = "d
         return None
     bound = F.lit(None)
     for lang, n in counts.items():
-        least = min(per_lang * 2**64 // n, 2**64 - 1) - 2**63
+        least = min(2 * per_lang * 2**64 // n, 2**64 - 1) - 2**63
         bound = F.when(F.col("lang") == lang, F.lit(least)).otherwise(bound)
-    sample = rows.filter(F.xxhash64("doc_id") <= bound).select("lang", "text")
+    # the least hashes, about twice as many as needed; equal texts become one before anything is ordered
+    rows = rows.withColumn("rank", F.xxhash64("doc_id", "text")).filter(F.col("rank") <= bound)
+    rows = rows.groupBy("lang", "text").agg(F.min("rank").alias("rank"))
+    order = Window.partitionBy("lang").orderBy("rank", "text")
+    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("before", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    sample = rows.filter((F.col("nth") <= per_lang) & (F.coalesce("before", F.lit(0)) < lang_bytes)).select("lang", "text")
     crf = fit([(r["lang"], r["text"]) for r in sample.collect()])
     give_back()
     return crf
@@ -286,22 +299,24 @@ def language_id(docs: DataFrame, crf: Crf | None, folds: int = 5, id_col: str =
             yield b.drop(columns="text").assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
             give_back()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc_mod(id_col, folds) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(id_text(id_col), (id_crc_mod(id_col, folds) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return id_back(rows.mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double"))
 
 
-def accepted(docs: DataFrame, crf: Crf | None, least: float = 0.4) -> DataFrame:
-    """The documents, in their own columns, that are in a learned language with a score of `least` or more."""
+def accepted(docs: DataFrame, crf: Crf | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The documents, in their own columns, whose words are on average in some learned language with a probability of `least` or more: documents in one language, and
+    those that mix several.  Documents without a letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
+    place = docs.columns.index(text_col)  # by place: names may clash
 
     def run(batches):
-        predict = Predictor(shared.value).predict
+        predictor = Predictor(shared.value)
         for b in batches:
-            got = predict(list(b["text"]))
-            yield b[[g[0] != UNDETERMINED and g[1] >= least for g in got]]
+            got = predictor.predict(b.column(place).to_pylist(), sure=True)
+            yield b.filter(pa.array([g[0] != UNDETERMINED and g[1] >= least for g in got], pa.bool_()))
             give_back()
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

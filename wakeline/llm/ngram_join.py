@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, mix, n_buckets, pack_arrays, scratch, send_counts, sum_counts, text_bytes, unpack_arrays
+from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, exact, meet, mix, n_buckets, pack_arrays, pack_table, scratch, send_counts, sum_counts, text_bytes, unpack_arrays, unpack_table
 
 #: Entries of a list that one part holds, about.
 LIST = 4096
@@ -73,10 +73,11 @@ def _answer(got: pd.DataFrame) -> list[tuple[int, int, bytes]]:
 
 
 def sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, size, sig, skip, grams of every row; grams (rarest first) only where a prefix n-gram, from number `skip` on, is in other sets too."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = text_bytes(rows)
-    chunks, k = chunked(rows, total), n_buckets(total // 8)
+    """row_key (a hash of id and text), doc_id, size, sig, skip, grams of every row; grams (rarest first) only where a prefix n-gram, from number `skip` on, is in
+    other sets too."""
+    total = text_bytes(docs, text_col)
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    chunks, k = chunked(docs, total, pack_table, id_col, text_col, more={"row_key": key}), n_buckets(total // 8)
     # frequencies need no full hash: a shared key only makes two n-grams look more frequent, alike for all sets
     drop = np.uint64(max(0, 64 - (max(1, total // 4).bit_length() + 17)))
 
@@ -84,18 +85,16 @@ def sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str
         short = s.hashes >> drop << drop
         return short, np.unique(short[s.distinct()], return_counts=True)
 
-    def emit(part: pd.DataFrame):
-        s = Shingles(part["text"], n)
+    def emit(chunk: int, payload: bytes):
+        s = Shingles(unpack_table(payload).column("text").to_pylist(), n)
         _, (own, counts) = keys(s)
-        return send_counts(int(part["chunk"].iloc[0]), own, counts.astype(np.int64), k)
+        return send_counts(chunk, own, counts.astype(np.int64), k)
 
-    def ordered(part: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "size", "sig", "skip", "grams"]
-        if not len(part):
-            return pd.DataFrame(columns=names)
-        s = Shingles(part["text"], n)
+    def ordered(chunk: int, payload: bytes, said: list) -> pd.DataFrame:
+        rows = unpack_table(payload)
+        s = Shingles(rows.column("text").to_pylist(), n)
         short, (own, _) = keys(s)
-        code = np.concatenate([unpack_arrays(p)[0] for _, p in sorted(zip(said["bucket"], said["payload"]))] or [np.empty(0, np.uint8)])
+        code = np.concatenate([unpack_arrays(p)[0] for _, p in sorted(said)] or [np.empty(0, np.uint8)])
         code = code[np.searchsorted(own, short)]
         order = np.lexsort((s.hashes, code, s.owner))
         grams, code = s.hashes[order].view(np.int64), code[order]
@@ -103,11 +102,9 @@ def sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str
         prefix = s.size - -(-num * s.size // den) + 1
         some = (s.size > 0) & (alone < prefix)
         cut = [grams[a : a + m] if ok else None for a, m, ok in zip(s.start, s.size, some)]
-        return pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "size": s.size, "sig": s.signature.view(np.int64), "skip": alone, "grams": cut})[names]
+        return pd.DataFrame({"row_key": exact(rows.column("row_key")), "doc_id": exact(rows.column("doc_id")), "size": s.size, "sig": s.signature.view(np.int64), "skip": alone, "grams": cut})
 
-    heard = ask(chunks, emit, _answer)
-    schema = "doc_id long, size long, sig long, skip long, grams array<long>"
-    return chunks.groupBy("chunk").cogroup(heard.groupBy("chunk")).applyInPandas(ordered, schema)
+    return meet(chunks, ask(chunks, emit, _answer), ordered, "row_key long, doc_id long, size long, sig long, skip long, grams array<long>")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:

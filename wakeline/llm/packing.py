@@ -5,9 +5,11 @@ filled bins and moves their items into other underfull bins, or exchanges one it
 others, whenever that increases the sum of squared fills, until a bin is empty and gone.  It stops when the number
 of bins meets the lower bound ceil(sum / capacity) or no step helps.
 
-Documents are packed in shards of about `SHARD` pieces that are dealt by hash, so a worker holds a bounded number of
-lengths whatever the corpus; only (id, piece, length, checksum) are shuffled.  The least filled sequences of `FAN` shards are then packed anew
+Documents are packed in shards of about `SHARD` pieces that are dealt by hash of the piece and of where it stands, so a worker holds a bounded number of
+lengths whatever the corpus and equal rows spread; only (id, piece, length, checksum) are shuffled.  The least filled sequences of `FAN` shards are then packed anew
 together, and those of `FAN` such groups again, until one group is left, so what is left over doesn't grow with the shards.  Null and empty texts are one piece, the end id alone; rows with equal ids are packed each for itself; an empty table gives an empty result.
+Ties in length go by id and piece.  A worker holds the ids of one text, however long, at a time besides a batch of texts.  `pieces` reads id and text only; `place` passes other columns through, whatever their names but
+_part, sequence_id and offset.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from wakeline.llm.common import documents, scratch
+from wakeline.llm.common import documents, id_back, id_text, scratch
 from wakeline.llm.tokenizer import cuts, tokenizer
 
 #: Pieces in a shard, about.
@@ -149,10 +153,10 @@ def pieces(docs: DataFrame, json_file: str, most: int, end_id: int | None, id_co
                 for k, (start, n) in enumerate(cuts(len(ids), most)):
                     raw = ids[start : start + n].tobytes()
                     rows.append((doc, k, start, n, zlib.crc32(raw), *[raw] * with_ids))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = docs.select(id_text(id_col), F.col(text_col).cast("string").alias("text"))
+    return id_back(rows.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids))
 
 
 def least_filled(sizes: list[int], bins: list[list[int]], capacity: int, most: int) -> set[int]:
@@ -168,7 +172,7 @@ def least_filled(sizes: list[int], bins: list[list[int]], capacity: int, most: i
 
 
 def place(found: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
-    """Add sequence_id and offset to pieces (columns doc_id, piece, length and any others)."""
+    """Add sequence_id and offset to pieces (columns doc_id, piece, length and any others) that stand in a table, so that a task that runs again deals them alike."""
     spare = found.filter(F.col("length") < capacity)
     parts = [max(1, math.ceil(spare.count() / shard))]
     while parts[-1] > 1:
@@ -179,9 +183,9 @@ def place(found: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
         n, rounds, fan, handed = parts[k], len(parts), FAN, HANDED
 
         def run(key, rows):
-            part = int(key[0])
-            rows = rows.sort_values([c for c in ("doc_id", "piece", "length", "ids_crc32") if c in rows], kind="stable").reset_index(drop=True)
-            sizes, order, seq, off = rows["length"].tolist(), [], [], []
+            part = key[0].as_py()
+            rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "piece", "length", "ids_crc32") if c in rows.column_names])
+            sizes, order, seq, off = rows.column("length").to_pylist(), [], [], []
             bins = pack(sizes, capacity)
             on = least_filled(sizes, bins, capacity, handed) if n > 1 else ()
             for b, items in enumerate(bins):
@@ -191,11 +195,14 @@ def place(found: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
                     seq.append(-1 if b in on else ((b * n + part) * rounds + k) * 2)
                     off.append(at)
                     at += sizes[i]
-            return rows.iloc[order].assign(_part=part // fan, sequence_id=seq, offset=off)
+            rows, long = rows.take(pa.array(order, pa.int64())).drop_columns(["_part"]), pa.int64()
+            for name, values in (("_part", [part // fan] * len(order)), ("sequence_id", seq), ("offset", off)):
+                rows = rows.append_column(name, pa.array(values, long))
+            return rows.cast(to_arrow_schema(schema))
 
-        return rows.groupBy("_part").applyInPandas(run, schema)
+        return rows.groupBy("_part").applyInArrow(run, schema)
 
-    left, out = spare.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(parts[0])).cast("long")), []
+    left, out = spare.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id()), F.lit(parts[0])).cast("long")), []
     for k in range(len(parts) - 1):
         done = scratch(packed(left, k), "packed")
         out.append(done.filter("sequence_id >= 0"))

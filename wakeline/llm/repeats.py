@@ -19,9 +19,8 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, n_buckets, own_row, pack_arrays, send_counts, sum_counts, text_bytes, unpack_arrays
+from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, exact, meet, n_buckets, own_row, pack_arrays, pack_table, send_counts, sum_counts, text_bytes, unpack_arrays, unpack_table
 
 SPAN, GRAM = 16, 8
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -71,8 +70,12 @@ def _answer(got: pd.DataFrame) -> list[tuple[int, int, bytes]]:
     return [(b, c, pack_arrays(np.packbits(flags[p]), np.array([len(p)]))) for b, c, p in zip(got["bucket"], got["chunk"], places)]
 
 
-def _flags(said: pd.DataFrame, n: int) -> np.ndarray:
-    parts = [unpack_arrays(p) for b, p in sorted(zip(said["bucket"], said["payload"])) if b >= 0]
+def texts_of(payload: bytes) -> list[str | None]:
+    return unpack_table(payload).column("text").to_pylist()
+
+
+def _flags(said: list, n: int) -> np.ndarray:
+    parts = [unpack_arrays(p) for b, p in sorted(said) if b >= 0]
     out = np.concatenate([np.unpackbits(bits, count=int(size[0])) for bits, size in parts]) if parts else np.empty(0, np.uint8)
     assert len(out) == n
     return out.view(bool)
@@ -89,43 +92,41 @@ def _spans(windows: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each maximal span of repeated words: doc_id, start_word, n_words, start_char, end_char (code points)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = text_bytes(rows)
-    chunks, n = chunked(rows, total), n_buckets(total // 32)
-
-    def suffixes(part: pd.DataFrame):
-        s = Suffixes(part["text"], min_words)
-        return send_counts(int(part["chunk"].iloc[0]), s.keys, _twice(s.counts), n)
-
-    def windows(part: pd.DataFrame, said: pd.DataFrame):
-        if not len(part):
-            return []
-        s, chunk = Suffixes(part["text"], min_words), int(part["chunk"].iloc[0])
+    total = text_bytes(docs, text_col)
+    chunks, n = chunked(docs, total, pack_table, id_col, text_col), n_buckets(total // 32)
+
+    def suffixes(chunk: int, payload: bytes):
+        s = Suffixes(texts_of(payload), min_words)
+        return send_counts(chunk, s.keys, _twice(s.counts), n)
+
+    def windows(chunk: int, payload: bytes, said: list):
+        s = Suffixes(texts_of(payload), min_words)
         repeated = _flags(said, len(s.keys))
         _, keys, _, counts = s.extended(repeated)
         return [own_row(chunk, pack_arrays(np.packbits(repeated.view(np.uint8)))), *send_counts(chunk, keys, _twice(counts), n)]
 
-    def spans(part: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(part):
-            s = Suffixes(part["text"], min_words)
-            own = next(p for b, p in zip(said["bucket"], said["payload"]) if b < 0)
-            repeated = np.unpackbits(unpack_arrays(own)[0], count=len(s.keys)).view(bool)
-            found, keys, place, _ = s.extended(repeated)
-            found = found[_flags(said, len(keys))[place]] if len(found) else found
-            owner = np.searchsorted(s.words.start + s.words.size, found, side="right")
-            for k in np.unique(owner):
-                text = part["text"].iloc[k].encode("utf-8", "surrogatepass")
-                places = [m.span() for m in _WORD.finditer(text)]
-                for a, b in _spans(found[owner == k] - s.words.start[k], min_words):
-                    i, j = places[a][0], places[b - 1][1]
-                    i_char = len(text[:i].decode("utf-8", "surrogatepass"))
-                    out.append((part["doc_id"].iloc[k], a, b - a, i_char, i_char + len(text[i:j].decode("utf-8", "surrogatepass"))))
-        return pd.DataFrame(out, columns=["doc_id", "start_word", "n_words", "start_char", "end_char"])
+    def spans(chunk: int, payload: bytes, said: list) -> pd.DataFrame:
+        rows, out = unpack_table(payload), []
+        texts = rows.column("text").to_pylist()
+        s = Suffixes(texts, min_words)
+        own = next(p for b, p in said if b < 0)
+        repeated = np.unpackbits(unpack_arrays(own)[0], count=len(s.keys)).view(bool)
+        found, keys, place, _ = s.extended(repeated)
+        found = found[_flags(said, len(keys))[place]] if len(found) else found
+        owner = np.searchsorted(s.words.start + s.words.size, found, side="right")
+        for k in np.unique(owner).tolist():
+            text = texts[k].encode("utf-8", "surrogatepass")
+            places = [m.span() for m in _WORD.finditer(text)]
+            for a, b in _spans(found[owner == k] - s.words.start[k], min_words):
+                i, j = places[a][0], places[b - 1][1]
+                i_char = len(text[:i].decode("utf-8", "surrogatepass"))
+                out.append((k, a, b - a, i_char, i_char + len(text[i:j].decode("utf-8", "surrogatepass"))))
+        spans = pd.DataFrame(out, columns=["doc_id", "start_word", "n_words", "start_char", "end_char"])
+        return spans.assign(doc_id=exact(rows.column("doc_id")).take(spans["doc_id"].to_numpy(np.int64)).array)
 
     first = ask(chunks, suffixes, _answer)
     second = ask(chunks, windows, _answer, first)
-    return chunks.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInPandas(spans, "doc_id long, start_word long, n_words long, start_char long, end_char long")
+    return meet(chunks, second, spans, "doc_id long, start_word long, n_words long, start_char long, end_char long")
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,11 @@ A text has as many tokens as it has initial symbols less the merges that happen;
 ever made.  The initial symbols are the characters of the normalised text; a character outside the
 vocabulary counts as its UTF-8 bytes.  No piece of the vocabulary holds a space mark after another
 character, nor a line feed, so merges never cross these places and a text is counted word by word,
-each distinct word once per worker (the memory of words is bounded).
+each distinct word once per worker (the memory of words is bounded).  A worker holds a batch of texts; a very long
+text is counted like any other, and a word as long as a text takes some 200 bytes for each of its.
 
-Null and empty texts have 0 tokens.  Every input row gives one row; columns besides id and text are
-not read.
+Null and empty texts have 0 tokens.  Every input row gives one row, also of repeated rows and ids; columns besides id and text are
+not read, whatever their names.  An empty table gives no rows.  Adjacent pairs of equal rank merge from left to right, as in the library.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import documents
+from wakeline.llm.common import documents, id_back, id_text
 
 MARK = "▁"
 #: Distinct words a worker remembers before it starts afresh.
@@ -120,8 +121,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    rows = docs.select(id_text(id_col), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    return id_back(rows.mapInPandas(run, "doc_id string, n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ log(width) steps.  Overlong documents are split without loss.  Each row of the m
 cumulative segment lengths and the positions, which start again at 0 with each segment.
 
 Packing happens where the texts are read: a task packs windows of `WINDOW` ids, so nothing is shuffled and a worker holds one
-window.  Null and empty texts are one segment, the end id alone.  Rows with equal ids are packed each for itself; an
-empty table gives no rows; other columns are not read.
+window, and the ids of the text that fills it, however long.  Null and empty texts are one segment, the end id alone.  Rows with equal ids are packed each for itself; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import documents
+from wakeline.llm.common import documents, id_text
 from wakeline.llm.tokenizer import cuts, tokenizer
 
 #: Ids that a task packs at a time.
@@ -90,7 +90,7 @@ def matrix(segments: list[tuple[int | None, int, np.ndarray]], width: int, pad_i
 
 
 def token_output(docs: DataFrame, json_file: str, width: int = 2048, end_id: int = 50256, pad_id: int = 50256, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The packed matrix.  window_key and row together name a row; window_key is the task's first id and its number.
+    """The packed matrix.  window_key and row together name a row; window_key is the task's first id and its number.  Ties in length go by order of reading.
     input_ids and position_ids hold `width` little-endian numbers, of 16 bits if the vocabulary and width allow, else 32; n_tokens of them are no padding."""
 
     def run(batches):
@@ -99,7 +99,7 @@ def token_output(docs: DataFrame, json_file: str, width: int = 2048, end_id: int
         held, size, first, key = [], 0, 0, None
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"]):
-                doc = None if pd.isna(doc) else int(doc)
+                doc = None if doc is None else int(doc)
                 ids = np.append(encode.encode(text), np.uint32(end_id)).astype(dtype)
                 key = key or f"{doc}-{b['at'].iloc[0]}"
                 held += [(doc, k, ids[s : s + n]) for k, (s, n) in enumerate(cuts(len(ids), width))]
@@ -110,7 +110,7 @@ def token_output(docs: DataFrame, json_file: str, width: int = 2048, end_id: int
         if held:
             yield matrix(held, width, pad_id, dtype, key, first)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("at"))
+    rows = docs.select(id_text(id_col), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("at"))
     return rows.mapInPandas(run, SCHEMA)
 
 
