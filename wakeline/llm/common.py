@@ -126,11 +126,12 @@ def ask(
     chunks: DataFrame,
     emit: Callable[..., list[tuple[int, int, bytes]]],
     answer: Callable[[pd.DataFrame], list[tuple[int, int, bytes]]],
+    n: int,
     heard: DataFrame | None = None,
 ) -> DataFrame:
     """One round: `emit` makes (bucket, chunk, payload) blobs of a chunk's number and payload (and of the (bucket, payload) rows it heard in
-    the round before); `answer` turns all blobs of a bucket into blobs for the chunks."""
-    return asked(chunks, emit, heard).groupBy("bucket").applyInPandas(lambda got: blobs(answer(got)), ASK_SCHEMA)
+    the round before); `answer` turns all blobs of one of the `n` buckets into blobs for the chunks.  There are as many partitions as buckets, so tasks don't grow with the corpus."""
+    return asked(chunks, emit, n, heard).groupBy("bucket").applyInPandas(lambda got: blobs(answer(got)), ASK_SCHEMA)
 
 
 def blobs(rows: list) -> pd.DataFrame:
@@ -138,10 +139,12 @@ def blobs(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "chunk", "payload"])
 
 
-def asked(chunks: DataFrame, emit: Callable[..., list[tuple[int, int, bytes]]], heard: DataFrame | None = None) -> DataFrame:
+def asked(chunks: DataFrame, emit: Callable[..., list[tuple[int, int, bytes]]], n: int, heard: DataFrame | None = None) -> DataFrame:
     if heard is None:
-        return chunks.groupBy("chunk").applyInPandas(lambda part: blobs(emit(int(part["chunk"].iloc[0]), part["payload"].iloc[0])), ASK_SCHEMA)
-    return meet(chunks, heard, lambda *args: blobs(emit(*args)), ASK_SCHEMA)
+        out = chunks.groupBy("chunk").applyInPandas(lambda part: blobs(emit(int(part["chunk"].iloc[0]), part["payload"].iloc[0])), ASK_SCHEMA)
+    else:
+        out = meet(chunks, heard, lambda *args: blobs(emit(*args)), ASK_SCHEMA)
+    return out.repartition(max(n, 2), "bucket")
 
 
 def meet(chunks: DataFrame, heard: DataFrame, step: Callable[[int, bytes, list[tuple[int, bytes]]], pd.DataFrame], schema) -> DataFrame:

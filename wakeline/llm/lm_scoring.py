@@ -38,20 +38,24 @@ END = word_hashes([b" "])[0]
 
 
 def encoded(rows: pa.Table) -> bytes:
-    """The rows' ids and folds, the size of each text in tokens, its tokens as numbers, and the sorted hashes that they number."""
+    """The rows' ids and folds, the size of each text in tokens, its tokens as numbers (frequent words have small ones), how often each hash occurs, and the sorted hashes."""
     words = WordRuns(rows.column("text").to_pylist(), lower=True)
     ends = np.cumsum(words.size)
-    hashes, at = np.unique(np.insert(words.hash, ends, END), return_inverse=True)
+    hashes, at, count = np.unique(np.insert(words.hash, ends, END), return_inverse=True, return_counts=True)
+    place = np.argsort(-count, kind="stable")
+    rank = np.empty_like(place)
+    rank[place] = np.arange(len(place))
     held = np.array([crc_mod(i, FOLDS) == HELD for i in rows.column("doc_id").to_pylist()], bool)
     ids = pack_table(rows.select(["doc_id"]))
-    return pack_arrays(np.frombuffer(ids, np.uint8), held.view(np.uint8), words.size + 1, at.astype(np.int64), *pack_sorted(hashes))
+    return pack_arrays(np.frombuffer(ids, np.uint8), held.view(np.uint8), words.size + 1, rank[at], count, *pack_sorted(hashes))
 
 
 class Counted:
     """Words, pairs and triples of a chunk, each numbered in sorted order."""
 
     def __init__(self, payload: bytes, grams: bool):
-        ids, held, self.size, self.at, *hashes = unpack_arrays(payload)
+        ids, held, self.size, ranks, count, *hashes = unpack_arrays(payload)
+        self.at = np.argsort(-count, kind="stable")[ranks]
         self.ids = exact(unpack_table(ids.tobytes()).column("doc_id"))
         self.held = held.view(bool)
         self.hashes = unpack_sorted(*hashes)
@@ -125,7 +129,9 @@ def _count_words(got: pd.DataFrame) -> list[tuple[int, int, bytes]]:
     """Every chunk hears of its words: corpus counts and ids (0: not in training); and the shard's distinct words and tokens."""
     places, _, total = sum_counts(got)
     known = total > 0
-    rank = np.where(known, np.cumsum(known), 0)
+    rank = np.empty(len(total), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(1, len(total) + 1)  # frequent words have small ids, which pack better
+    rank = np.where(known, rank, 0)
     sums = np.array([known.sum(), total.sum()])
     return [(b, c, pack_arrays(total[p], rank[p], sums.astype(np.int64))) for b, c, p in zip(got["bucket"], got["chunk"], places)]
 
@@ -288,8 +294,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             "train_tokens": n, "base_score": np.add.reduceat(np.log10(plain)[c.at], c.start), "score": np.add.reduceat(log[c.triple_at], c.start),
         })
 
-    first = ask(chunks, words, _count_words)
-    second = asked(chunks, grams, first)
+    first = ask(chunks, words, _count_words, n_words)
+    second = asked(chunks, grams, n_shards, first)
     told = second.groupBy("bucket").applyInPandas(lambda got: blobs(_report(got, n_shards)), ASK_SCHEMA).groupBy("bucket").applyInPandas(lambda got: blobs(_sum_reports(got)), ASK_SCHEMA)
     found = second.groupBy("bucket").cogroup(told.groupBy("chunk")).applyInPandas(lambda got, told: blobs(_build_and_look_up(got, told)), ASK_SCHEMA)
     return meet(chunks, found, scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

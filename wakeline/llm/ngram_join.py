@@ -104,7 +104,7 @@ def sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str
         cut = [grams[a : a + m] if ok else None for a, m, ok in zip(s.start, s.size, some)]
         return pd.DataFrame({"row_key": exact(rows.column("row_key")), "doc_id": exact(rows.column("doc_id")), "size": s.size, "sig": s.signature.view(np.int64), "skip": alone, "grams": cut})
 
-    return meet(chunks, ask(chunks, emit, _answer), ordered, "row_key long, doc_id long, size long, sig long, skip long, grams array<long>")
+    return meet(chunks, ask(chunks, emit, _answer, k), ordered, "row_key long, doc_id long, size long, sig long, skip long, grams array<long>")
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:

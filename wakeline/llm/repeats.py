@@ -124,8 +124,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
         spans = pd.DataFrame(out, columns=["doc_id", "start_word", "n_words", "start_char", "end_char"])
         return spans.assign(doc_id=exact(rows.column("doc_id")).take(spans["doc_id"].to_numpy(np.int64)).array)
 
-    first = ask(chunks, suffixes, _answer)
-    second = ask(chunks, windows, _answer, first)
+    first = ask(chunks, suffixes, _answer, n)
+    second = ask(chunks, windows, _answer, n, first)
     return meet(chunks, second, spans, "doc_id long, start_word long, n_words long, start_char long, end_char long")
 
 
