@@ -48,8 +48,12 @@ def triangle_cells(triangles: DataFrame, keep=()) -> DataFrame:
     left, low, right, high = geo.bounding_box(["x1", "x2", "x3"], ["y1", "y2", "y3"])
     area = geo.triangle_area("x1", "y1", "x2", "y2", "x3", "y3")
     rows = triangles.withColumn("_area", area).filter("_area <> 0")
-    rows = rows.withColumns({"_l": left, "_b": low, "_r": right, "_t": high})
-    rows = rows.withColumn("cell_x", F.explode(F.sequence("_l", "_r"))).withColumn("cell_y", F.explode(F.sequence("_b", "_t")))
+    rows = rows.withColumns({"_l": left, "_b": low, "_r": right, "_t": high}).withColumn("cell_y", F.explode(F.sequence("_b", "_t")))
+    # where the sides cross the row, one cell over to either side: what a thin band has of its box is looked at, not the box
+    sides = [(1, 2), (2, 3), (3, 1)]
+    across = [F.expr(f"if(cell_y BETWEEN least(y{i}, y{j}) AND greatest(y{i}, y{j}), if(y{i} = y{j}, {end}, x{i} + (cell_y - y{i}) * (x{j} - x{i}) / (y{j} - y{i})), NULL)") for i, j in sides for end in (f"x{i}", f"x{j}")]
+    rows = rows.withColumns({"_l": F.greatest("_l", F.floor(F.least(*across)) - 1), "_r": F.least("_r", F.ceil(F.greatest(*across)) + 1)})
+    rows = rows.withColumn("cell_x", F.explode(F.sequence("_l", "_r")))
     part = lambda *c: geo.triangle_area(*c) / F.col("_area")
     rows = rows.withColumns({
         "alpha": part("cell_x", "cell_y", "x2", "y2", "x3", "y3"),

@@ -12,8 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wakeline.functions.geo import EARTH_RADIUS
 from wakeline.functions.geodesic import inverse
@@ -101,38 +104,47 @@ def label_stops(points: DataFrame, config: StopConfig = StopConfig(), sog: str =
     w = Window.partitionBy("mmsi").orderBy("m", "pos")
     second = F.col("m").cast("bigint")
     gap = F.coalesce(second - F.lag(second).over(w) >= F.lit(config.seconds), F.lit(False))
-    cut = points.select("mmsi", "pos", F.col("x").cast("double"), F.col("y").cast("double"), F.col("m").cast("double"), F.col(sog).cast("double").alias("sog"), gap.cast("int").alias("_cut"))
-    cut = cut.withColumn("piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    cut = points.withColumn("_cut", gap.cast("int")).withColumn("_piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    cut = cut.withColumns({f"_{c}": F.col(c).cast("double") for c in ("x", "y", "m")} | {"_s": F.col(sog).cast("double"), "_key": F.xxhash64("mmsi", "_piece")})
+    extra = T.StructType([T.StructField("label", T.StringType()), T.StructField("_own", T.LongType()), T.StructField("_n", T.LongType())])
+    schema = T.StructType([*cut.schema.fields, *extra.fields])
 
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
+    def label(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
         """Rows of whole pieces, one after the other."""
-        new = (rows["mmsi"] != rows["mmsi"].shift()) | (rows["piece"] != rows["piece"].shift())
-        edges = [*np.flatnonzero(new.to_numpy()), len(rows)]
-        columns = [rows[c].to_numpy(float) for c in ("x", "y", "m", "sog")]
+        rows = pa.Table.from_batches(held)
+        edges = np.flatnonzero(np.diff(rows.column("_key").to_numpy(), prepend=0, append=0))
+        edges = np.unique(np.concatenate([[0], edges, [rows.num_rows]]))
+        columns = [rows.column(c).to_numpy() for c in ("_x", "_y", "_m", "_s")]
         parts = [label_points(*(c[i:j] for c in columns), config) for i, j in zip(edges, edges[1:])]
-        return rows[["mmsi", "pos", "piece"]].assign(label=np.concatenate([p[0] for p in parts]), own=np.concatenate([p[1] for p in parts]))
+        own, n = np.concatenate([p[1] for p in parts]), np.zeros(rows.num_rows, np.int64)
+        n[edges[:-1]] = [p[1].max() + 1 for p in parts]  # clusters of a piece, at its first row
+        for field, values in zip(extra, (np.concatenate([p[0] for p in parts]), own, n)):
+            rows = rows.append_column(field.name, pa.array(values, to_arrow_type(field.dataType)))
+        return rows.to_batches()
 
     def run(batches):
-        held = None  # the piece that the last batch may have cut
+        held, last = [], None  # what there is so far of the piece that the last batch may have cut
         for b in batches:
-            rows = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = (rows["mmsi"] == rows["mmsi"].iloc[-1]) & (rows["piece"] == rows["piece"].iloc[-1]) if len(rows) else None
-            if last is None:
+            if not b.num_rows:
                 continue
-            held = rows[last]
-            if not last.all():
-                yield label(rows[~last])
-        if held is not None and len(held):
-            yield label(held)
-
-    kind = dict(points.dtypes)
-    dealt = cut.repartition("mmsi", "piece").sortWithinPartitions("mmsi", "piece", "m", "pos")
-    found = dealt.mapInPandas(run, f"mmsi {kind['mmsi']}, pos {kind['pos']}, piece bigint, label string, own bigint")
-    counts = found.groupBy("mmsi", "piece").agg((F.max("own") + 1).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("mmsi").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("mmsi", "piece", before.alias("before"))
-    named = found.join(counts, ["mmsi", "piece"]).select("mmsi", "pos", "label", F.when(F.col("own") >= 0, F.col("own") + F.col("before")).alias("cluster_id"))
-    return points.join(named, ["mmsi", "pos"])
+            key = b.column("_key").to_numpy()
+            if held and key[0] != last:
+                yield from label(held)
+                held = []
+            cuts = np.flatnonzero(np.diff(key)) + 1
+            if len(cuts):
+                yield from label([*held, b.slice(0, cuts[-1])])
+                held, b = [], b.slice(cuts[-1])
+            held.append(b)
+            last = key[-1]
+        if held:
+            yield from label(held)
+
+    dealt = cut.repartition("mmsi", "_piece").sortWithinPartitions("mmsi", "_piece", "m", "pos")
+    found = dealt.mapInArrow(run, schema)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("mmsi").orderBy("_piece").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = found.withColumn("cluster_id", F.when(F.col("_own") >= 0, F.col("_own") + before))
+    return named.select(*points.columns, "label", "cluster_id")
 
 
 def stop_parts(labelled: DataFrame, order=("m", "pos")) -> DataFrame:
@@ -198,7 +210,7 @@ def stop_hulls(parts: DataFrame) -> DataFrame:
             yield b.drop(columns="coords").assign(hull=hulls)
 
     stops = parts.filter(F.col("kind") == "stop").select("mmsi", "part_id", "cluster_id", "t_start_s", "t_end_s", "coords")
-    return stops.mapInPandas(run, f"mmsi int, part_id bigint, cluster_id bigint, t_start_s bigint, t_end_s bigint, hull {POLYGON}")
+    return stops.mapInPandas(run, f"mmsi {dict(parts.dtypes)['mmsi']}, part_id bigint, cluster_id bigint, t_start_s bigint, t_end_s bigint, hull {POLYGON}")
 
 
 def stop_triangles(hulls: DataFrame) -> DataFrame:
@@ -212,4 +224,4 @@ def stop_triangles(hulls: DataFrame) -> DataFrame:
                 rows += [(mmsi, part, *ring[i], *ring[j], *ring[k]) for i, j, k in triangulate(ring)]
             yield pd.DataFrame(rows, columns=["mmsi", "part_id", "x1", "y1", "x2", "y2", "x3", "y3"])
 
-    return hulls.select("mmsi", "part_id", "hull").mapInPandas(run, "mmsi int, part_id bigint, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    return hulls.select("mmsi", "part_id", "hull").mapInPandas(run, f"mmsi {dict(hulls.dtypes)['mmsi']}, part_id bigint, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")

@@ -52,6 +52,48 @@ c AS (SELECT *, CASE WHEN {keeps} THEN 0 ELSE 1 END AS cut FROM p),
 s AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY mmsi ORDER BY t, pos ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS seg_id FROM c)"""
 
 
+#: Vincenty's formulas on WGS84 in SQL: fixed rounds, enough for the distances of the test tables.
+_FL, _AX = "(1 / 298.257223563::DOUBLE)", "6378137.0::DOUBLE"
+_BX = f"({_AX} * (1 - {_FL}))"
+_SERIES = f"""q_cos2a * ({_AX} * {_AX} - {_BX} * {_BX}) / ({_BX} * {_BX}) AS q_u2, 1 + q_u2 / 16384 * (4096 + q_u2 * (-768 + q_u2 * (320 - 175 * q_u2))) AS q_biga,
+q_u2 / 1024 * (256 + q_u2 * (-128 + q_u2 * (74 - 47 * q_u2))) AS q_bigb"""
+
+
+def _bend(sin_s: str, cos_s: str, cos_2m: str) -> str:
+    return f"q_bigb * {sin_s} * ({cos_2m} + q_bigb / 4 * ({cos_s} * (2 * {cos_2m} * {cos_2m} - 1) - q_bigb / 6 * {cos_2m} * (4 * {sin_s} * {sin_s} - 3) * (4 * {cos_2m} * {cos_2m} - 3)))"
+
+
+def _inverse(source: str, name: str, rounds: int = 8) -> str:
+    """CTEs that add metres and azimuth from (gx1, gy1) to (gx2, gy2) to the rows of `source`."""
+    step = f"""sin(q_lam) AS q_sl, cos(q_lam) AS q_cl, sqrt(pow(q_c2 * q_sl, 2) + pow(q_c1 * q_s2 - q_s1 * q_c2 * q_cl, 2)) AS q_sins, q_s1 * q_s2 + q_c1 * q_c2 * q_cl AS q_coss,
+atan2(q_sins, q_coss) AS q_sigma, CASE WHEN q_sins = 0 THEN 0 ELSE q_c1 * q_c2 * q_sl / q_sins END AS q_sina, 1 - q_sina * q_sina AS q_cos2a,
+CASE WHEN q_cos2a = 0 THEN 0 ELSE q_coss - 2 * q_s1 * q_s2 / q_cos2a END AS q_cos2m, {_FL} / 16 * q_cos2a * (4 + {_FL} * (4 - 3 * q_cos2a)) AS q_c,
+q_span + (1 - q_c) * {_FL} * q_sina * (q_sigma + q_c * q_sins * (q_cos2m + q_c * q_coss * (2 * q_cos2m * q_cos2m - 1))) AS q_after"""
+    made = "q_sl, q_cl, q_sins, q_coss, q_sigma, q_sina, q_cos2a, q_cos2m, q_c, q_after"
+    start = f"""radians(gx2 - gx1) AS q_span, atan((1 - {_FL}) * tan(radians(gy1))) AS q_a1, atan((1 - {_FL}) * tan(radians(gy2))) AS q_a2,
+sin(q_a1) AS q_s1, cos(q_a1) AS q_c1, sin(q_a2) AS q_s2, cos(q_a2) AS q_c2, q_span AS q_lam"""
+    out = [f"{name}0 AS (SELECT *, {start} FROM {source})"]
+    for i in range(rounds):
+        out.append(f"{name}{i + 1} AS (SELECT * EXCLUDE (q_lam, {made}), q_after AS q_lam FROM (SELECT *, {step} FROM {name}{i}))")
+    out.append(f"""{name} AS (SELECT * EXCLUDE (q_span, q_a1, q_a2, q_s1, q_c1, q_s2, q_c2, q_lam, {made}, q_u2, q_biga, q_bigb), CASE WHEN gx1 = gx2 AND gy1 = gy2 THEN 0 ELSE {_BX} * q_biga * (q_sigma - {_bend('q_sins', 'q_coss', 'q_cos2m')}) END AS metres,
+CASE WHEN gx1 = gx2 AND gy1 = gy2 THEN 0 ELSE atan2(q_c2 * q_sl, q_c1 * q_s2 - q_s1 * q_c2 * q_cl) END AS azimuth FROM (SELECT *, {step}, {_SERIES} FROM {name}{rounds}))""")
+    return ", ".join(out)
+
+
+def _direct(source: str, name: str, rounds: int = 6) -> str:
+    """CTEs that add the point (ox, oy) that lies `off` metres from (gx1, gy1) in the direction `azimuth`.  One CTE a round: aliases within one would be written out again and again."""
+    out = [f"""{name}_ AS (SELECT *, atan((1 - {_FL}) * tan(radians(gy1))) AS q_a1, sin(azimuth) AS q_sa, cos(azimuth) AS q_ca FROM {source}),
+{name}0 AS (SELECT *, off / ({_BX} * q_biga) AS q_plain, off / ({_BX} * q_biga) AS q_t FROM (SELECT *, {_SERIES} FROM (SELECT *, 1 - q_sina * q_sina AS q_cos2a FROM
+(SELECT *, sin(q_a1) AS q_s1, cos(q_a1) AS q_c1, atan2(tan(q_a1), q_ca) AS q_first, cos(q_a1) * q_sa AS q_sina FROM {name}_))))"""]
+    turn = "sin(q_t) AS q_ss, cos(q_t) AS q_cs, cos(2 * q_first + q_t) AS q_cos2m"
+    for i in range(rounds):
+        out.append(f"{name}{i + 1} AS (SELECT * EXCLUDE (q_t, q_ss, q_cs, q_cos2m), q_plain + {_bend('q_ss', 'q_cs', 'q_cos2m')} AS q_t FROM (SELECT *, {turn} FROM {name}{i}))")
+    out.append(f"""{name} AS (SELECT mmsi, pos, p, degrees(atan2(q_s1 * q_cs + q_c1 * q_ss * q_ca, (1 - {_FL}) * sqrt(q_sina * q_sina + pow(q_s1 * q_ss - q_c1 * q_cs * q_ca, 2)))) AS oy,
+gx1 + degrees(atan2(q_ss * q_sa, q_c1 * q_cs - q_s1 * q_ss * q_ca) - (1 - q_c) * {_FL} * q_sina * (q_t + q_c * q_ss * (q_cos2m + q_c * q_cs * (2 * q_cos2m * q_cos2m - 1)))) AS ox
+FROM (SELECT *, {turn}, {_FL} / 16 * q_cos2a * (4 + {_FL} * (4 - 3 * q_cos2a)) AS q_c FROM {name}{rounds}))""")
+    return ", ".join(out)
+
+
 _SUMMARY = " SELECT mmsi, seg_id, count(*) AS n_points, min(t) AS m_first, max(t) AS m_last FROM s GROUP BY mmsi, seg_id"
 _TIME = SplitRule(None, SECONDS)
 _BOTH = SplitRule(METRES, SECONDS, "haversine")
@@ -83,11 +125,24 @@ def seg_either(spark, sf_dir):
     return seg.summaries(seg.segment(view.points(spark, sf_dir), SplitRule(METRES, SECONDS, "haversine", "<=", "or")))
 
 
-@query()
+_STEPS = V + ", f AS (SELECT *, lag(x) OVER o AS gx1, lag(y) OVER o AS gy1, x AS gx2, y AS gy2, m - lag(m) OVER o AS step_s FROM v WINDOW o AS (PARTITION BY mmsi ORDER BY m, pos)), " + _inverse("f", "g")
+
+
+def _geodesic_cut(metres: float, seconds: int) -> str:
+    return _STEPS + f""", s AS (SELECT *, m AS t, CAST(sum(CASE WHEN metres < {metres} AND step_s < {seconds} THEN 0 ELSE 1 END) OVER (PARTITION BY mmsi ORDER BY m, pos ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS seg_id FROM g)"""
+
+
+@query(_geodesic_cut(METRES, SECONDS) + _SUMMARY)
 def seg_geodesic(spark, sf_dir):
     return seg.summaries(seg.segment(view.points(spark, sf_dir), SplitRule(METRES, SECONDS)))
 
 
+@query(_geodesic_cut(1000.0, 60) + _SUMMARY)
+def seg_default(spark, sf_dir):
+    """The rule of the production job, which is the default, where all vertices are 600 times as close in time."""
+    return seg.summaries(seg.segment(view.points(spark, sf_dir), SplitRule()))
+
+
 @query(_cut("true") + f""", h AS (SELECT mmsi, {_haversine('px', 'py', 'x', 'y')} AS step_m FROM s), l AS (SELECT unnest([4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0, 1024.0, 2048.0])::DOUBLE AS threshold)
 SELECT mmsi, threshold, count(*) AS total_len, count(*) FILTER (step_m >= threshold) + 1 AS num_splits, count(*) // (count(*) FILTER (step_m >= threshold) + 1) AS avg_subtraj_len FROM h, l GROUP BY mmsi, threshold""")
 def seg_threshold_sweep(spark, sf_dir):
@@ -256,7 +311,7 @@ def dist_haversine(spark, sf_dir):
     return seg.lines(view.points(spark, sf_dir)).select("mmsi", "pos", F.round(geo.haversine("x", "y", "x2", "y2"), 3).alias("dist"))
 
 
-@query()
+@query(_LINES + ", f AS (SELECT mmsi, pos, x AS gx1, y AS gy1, x2 AS gx2, y2 AS gy2 FROM l WHERE m2 IS NOT NULL), " + _inverse("f", "g") + " SELECT mmsi, pos, round(metres, 3) AS dist FROM g")
 def dist_geodesic(spark, sf_dir):
     return seg.lines(view.points(spark, sf_dir)).select("mmsi", "pos", F.round(geodesic("x", "y", "x2", "y2"), 3).alias("dist"))
 
@@ -428,25 +483,68 @@ def _ends(spark, sf_dir) -> DataFrame:
     return seg.lines(view.points(spark, sf_dir)).join(view.dimensions(spark, sf_dir), "mmsi")
 
 
-@query()
-def footprint_corners(spark, sf_dir):
-    return _ends(spark, sf_dir).select("mmsi", "pos", footprint("x", "y", "x2", "y2", "c", "d").alias("f")).select("mmsi", "pos", *[F.round(f"f.{p}{c}", 9).alias(p + c) for p in "abcd" for c in "xy"])
+_CORNER = "SELECT mmsi, pos, x, y, m, x2, y2, m2, a, b, '{p}' AS p, {x} AS gx1, {y} AS gy1, {x} {s} (y2 - y) AS gx2, {y} {t} (x2 - x) AS gy2, {off}::DOUBLE AS off FROM ends"
+_FOOTPRINT = (
+    _LINES + ", ends AS (SELECT mmsi, pos, x, y, m, x2, y2, m2, a, b, c, d FROM l JOIN dim USING (mmsi) WHERE m2 IS NOT NULL), cn AS ("
+    + " UNION ALL ".join(_CORNER.format(p=p, x=x, y=y, s=s, t=t, off=off) for p, x, y, s, t, off in (("a", "x", "y", "-", "+", "c"), ("b", "x2", "y2", "-", "+", "c"), ("c", "x", "y", "+", "-", "d"), ("d", "x2", "y2", "+", "-", "d")))
+    + "), " + _inverse("cn", "ia") + ", " + _direct("ia", "cd")
+    + ", fp AS (SELECT mmsi, pos, " + ", ".join(f"max(o{c}) FILTER (p = '{p}') AS f_{p}{c}" for p in "abcd" for c in "xy") + " FROM cd GROUP BY mmsi, pos)"
+)
 
 
-@query()
+@query(_FOOTPRINT + " SELECT mmsi, pos, " + ", ".join(f"round(f_{p}{c}, 7) AS \"{p}{c}\"" for p in "abcd" for c in "xy") + " FROM fp")
+def footprint_corners(spark, sf_dir):
+    return _ends(spark, sf_dir).select("mmsi", "pos", footprint("x", "y", "x2", "y2", "c", "d").alias("f")).select("mmsi", "pos", *[F.round(f"f.{p}{c}", 7).alias(p + c) for p in "abcd" for c in "xy"])
+
+
+_PART = "SELECT mmsi, pos, " + ", ".join(f"f_{{{i}}}{c} AS t{c}{i + 1}" for i in range(3) for c in "xy") + " FROM fp"
+_COVERED = (
+    _FOOTPRINT + ", tp AS (" + _PART.format("a", "c", "b") + " UNION ALL " + _PART.format("c", "b", "d") + "), t AS (SELECT *, "
+    + ", ".join(f"{g} AS {c}{i}" for i in (1, 2, 3) for c, g in zip("xy", _grid(16, f"tx{i}", f"ty{i}"))) + " FROM tp)"
+    + f""", w1 AS (SELECT *, {_area(*_CORNERS)} AS area, unnest(range(least(x1, x2, x3), greatest(x1, x2, x3) + 1)) AS cell_x FROM t), w2 AS (SELECT *, unnest(range(least(y1, y2, y3), greatest(y1, y2, y3) + 1)) AS cell_y FROM w1 WHERE area <> 0),
+w3 AS (SELECT *, {_area('cell_x', 'cell_y', 'x2', 'y2', 'x3', 'y3')} / area AS alpha, {_area('cell_x', 'cell_y', 'x3', 'y3', 'x1', 'y1')} / area AS beta, {_area('cell_x', 'cell_y', 'x1', 'y1', 'x2', 'y2')} / area AS gamma FROM w2),
+w4 AS (SELECT mmsi, pos, cell_x, cell_y, alpha * tx1 + beta * tx2 + gamma * tx3 AS px, alpha * ty1 + beta * ty2 + gamma * ty3 AS py FROM w3 WHERE alpha >= 0 AND beta >= 0 AND gamma >= 0),
+w5 AS (SELECT w4.*, m, m2, a, b, x AS gx1, y AS gy1, ends.x2 AS gx2, ends.y2 AS gy2, CASE WHEN ends.x2 = x AND ends.y2 = y THEN 0.0::DOUBLE ELSE ((px - x) * (ends.x2 - x) + (py - y) * (ends.y2 - y)) / ((ends.x2 - x) * (ends.x2 - x) + (ends.y2 - y) * (ends.y2 - y)) END AS ratio FROM w4 JOIN ends USING (mmsi, pos)), """
+    + _inverse("w5", "w6")
+    + """, w7 AS (SELECT *, CAST(trunc((m2 - m) * ratio) AS BIGINT) + m AS probe FROM w6),
+cells AS (SELECT mmsi, cell_x AS x, cell_y AS y, 16 AS z, 1000000000 * (CASE WHEN metres = 0 THEN probe ELSE probe - CAST(trunc((m2 - m) / metres * a) AS BIGINT) END) AS t_begin_ns,
+  1000000000 * (CASE WHEN metres = 0 THEN probe + (m2 - m) ELSE probe + CAST(trunc((m2 - m) / metres * b) AS BIGINT) END) AS t_end_ns FROM w7),
+i1 AS (SELECT *, max(t_end_ns) OVER (PARTITION BY mmsi, x, y ORDER BY t_begin_ns, t_end_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM cells WHERE t_end_ns >= t_begin_ns),
+i2 AS (SELECT *, sum(CASE WHEN t_begin_ns <= so_far THEN 0 ELSE 1 END) OVER (PARTITION BY mmsi, x, y ORDER BY t_begin_ns, t_end_ns ROWS UNBOUNDED PRECEDING) AS island FROM i1)"""
+)
+
+
+@query(_COVERED + " SELECT mmsi, x, y, z, min(t_begin_ns) AS t_begin_ns, max(t_end_ns) AS t_end_ns FROM i2 GROUP BY mmsi, x, y, z, island")
 def footprint_cells(spark, sf_dir):
     cells = raster.footprint_cells(_ends(spark, sf_dir), 16, ("mmsi", "pos"))
     return tiles.union_intervals(cells.filter("t_end_ns >= t_begin_ns"), ("mmsi", "x", "y", "z"))
 
 
 _STOPS = stops.StopConfig(4, 600.0, 86_400.0, 1.5, "haversine")
+#: The clustering as a recursion: a row holds a ship's whole state, a stack of points to look at and labels 0 none, 1 noise, 2 edge, 3 core.
+_STOP_LABELS = V.replace("WITH e", "WITH RECURSIVE e") + f""", w AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY m, pos) AS i FROM v),
+near AS (SELECT p.mmsi, p.i, q.i AS j, q.sog < {_STOPS.speed} AND abs(q.m - p.m) < {_STOPS.seconds} AND {_haversine('p.x', 'p.y', 'q.x', 'q.y')} < {_STOPS.metres} AS ok FROM w p JOIN w q ON p.mmsi = q.mmsi),
+reach AS (SELECT mmsi, i, coalesce(max(j) FILTER (NOT ok AND j < i), 0) + 1 AS low, coalesce(min(j) FILTER (NOT ok AND j >= i), max(j) + 1) AS high FROM near GROUP BY mmsi, i),
+ship AS (SELECT mmsi, list(low ORDER BY i) AS lows, list(high ORDER BY i) AS highs, list(0 ORDER BY i) AS label, list(-1::BIGINT ORDER BY i) AS cluster FROM reach GROUP BY mmsi),
+st AS (
+  SELECT mmsi, lows, highs, label, cluster, []::BIGINT[] AS stack, 0::BIGINT AS number, false AS grew, false AS done FROM ship
+  UNION ALL
+  SELECT mmsi, lows, highs,
+    CASE WHEN free AND fresh > 0 THEN list_transform(label, lambda l, k: CASE WHEN k = fresh THEN 1 ELSE l END)
+      WHEN core THEN list_transform(label, lambda l, k: CASE WHEN k = i THEN 3 WHEN k >= low AND k < high AND l = 1 THEN 2 WHEN k >= low AND k < high AND l = 0 THEN 1 ELSE l END) ELSE label END,
+    CASE WHEN core THEN list_transform(cluster, lambda c, k: CASE WHEN k = i OR (k >= low AND k < high AND label[k] = 1) THEN number ELSE c END) ELSE cluster END,
+    CASE WHEN free AND fresh > 0 THEN [fresh] WHEN free THEN [] WHEN core THEN stack[1:len(stack) - 1] || list_filter(list_reverse(range(low, i)), lambda j: label[j] = 0) || list_filter(range(i, high), lambda j: label[j] = 0) ELSE stack[1:len(stack) - 1] END,
+    CASE WHEN free AND grew THEN number + 1 ELSE number END, CASE WHEN free THEN false ELSE grew OR core END, free AND fresh = 0
+  FROM (SELECT *, NOT free AND high - low >= {_STOPS.min_points} AS core FROM (SELECT *, lows[i] AS low, highs[i] AS high FROM (
+    SELECT *, len(stack) = 0 AS free, coalesce(list_position(label, 0), 0)::BIGINT AS fresh, stack[len(stack)] AS i FROM st WHERE NOT done)))),
+lab AS (SELECT w.*, ['noise', 'edge', 'core'][label[i]] AS label, CASE WHEN cluster[i] >= 0 THEN cluster[i] END AS cluster_id FROM st JOIN w USING (mmsi) WHERE done)"""
 
 
 def _labels(spark, sf_dir) -> DataFrame:
     return stops.label_stops(view.points(spark, sf_dir), _STOPS)
 
 
-@query()
+@query(_STOP_LABELS + " SELECT event_id, label, cluster_id FROM lab")
 def stop_labels(spark, sf_dir):
     return _labels(spark, sf_dir).select("event_id", "label", "cluster_id")
 
@@ -459,19 +557,61 @@ def stop_move_islands(spark, sf_dir):
     return stops.stop_parts(rows).drop("coords", "cluster_id")
 
 
-@query()
+_STOP_PARTS = _STOP_LABELS + """, n1 AS (SELECT *, CASE WHEN i > 1 AND cluster_id IS NOT DISTINCT FROM lag(cluster_id) OVER (PARTITION BY mmsi ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM lab),
+n2 AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY mmsi ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS part_id FROM n1),
+parts AS (SELECT mmsi, part_id, CASE WHEN any_value(cluster_id) IS NULL THEN 'move' ELSE 'stop' END AS kind, any_value(cluster_id) AS cluster_id, min(m) AS t_start_s, max(m) AS t_end_s, count(*) AS n_points FROM n2 GROUP BY mmsi, part_id)"""
+#: Sides of the hulls on whole thousandths of a degree, which the test tables have: all other points lie to the left, or on the side itself.
+_STOP_HULLS = _STOP_PARTS + """, pt AS (SELECT DISTINCT mmsi, part_id, CAST(round(x * 1000) AS BIGINT) AS u, CAST(round(y * 1000) AS BIGINT) AS w FROM n2 WHERE cluster_id IS NOT NULL),
+side AS (SELECT a.mmsi, a.part_id, a.u AS u1, a.w AS w1, b.u AS u2, b.w AS w2 FROM pt a JOIN pt b ON a.mmsi = b.mmsi AND a.part_id = b.part_id AND (a.u <> b.u OR a.w <> b.w)),
+turn AS (SELECT side.*, (u2 - u1) * (c.w - w1) - (w2 - w1) * (c.u - u1) AS side_of, c.u BETWEEN least(u1, u2) AND greatest(u1, u2) AND c.w BETWEEN least(w1, w2) AND greatest(w1, w2) AS on_it FROM side JOIN pt c USING (mmsi, part_id)),
+hull AS (SELECT mmsi, part_id, u1 * w2 - u2 * w1 AS twice FROM turn GROUP BY mmsi, part_id, u1, w1, u2, w2 HAVING min(side_of) >= 0 AND bool_and(side_of <> 0 OR on_it)),
+areas AS (SELECT mmsi, part_id, round(sum(twice) / 2.0::DOUBLE, 3) AS area FROM hull GROUP BY mmsi, part_id),
+boxes AS (SELECT mmsi, part_id, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM n2 GROUP BY mmsi, part_id)"""
+
+
+@query(_STOP_PARTS + " SELECT * FROM parts")
 def stop_parts(spark, sf_dir):
     return stops.stop_parts(_labels(spark, sf_dir)).drop("coords")
 
 
-@query()
+def _area_of(ring: str) -> str:
+    """Area of a polygon, in millionths of a square degree."""
+    return f"round(abs(aggregate(sequence(0, size({ring}) - 1), 0D, (s, i) -> s + {ring}[i].x * {ring}[(i + 1) % size({ring})].y - {ring}[(i + 1) % size({ring})].x * {ring}[i].y)) * 500000, 3)"
+
+
+@query(_STOP_HULLS + " SELECT mmsi, part_id, cluster_id, t_start_s, t_end_s, coalesce(area, 0.0::DOUBLE) AS area, min_x, min_y, max_x, max_y FROM parts JOIN boxes USING (mmsi, part_id) LEFT JOIN areas USING (mmsi, part_id) WHERE kind = 'stop'")
 def stop_hulls(spark, sf_dir):
-    return stops.stop_hulls(stops.stop_parts(_labels(spark, sf_dir)))
+    """Hulls by their areas and boxes."""
+    hulls = stops.stop_hulls(stops.stop_parts(_labels(spark, sf_dir)))
+    ends = {f"{f}_{c}": F.expr(f"array_{f}(transform(hull, p -> p.{c}))") for f in ("min", "max") for c in "xy"}
+    return hulls.select("mmsi", "part_id", "cluster_id", "t_start_s", "t_end_s", F.expr(_area_of("hull")).alias("area"), *[v.alias(k) for k, v in ends.items()])
 
 
-@query()
+@query(_STOP_HULLS + " SELECT mmsi, part_id, area FROM areas WHERE area > 0")
 def stop_triangles(spark, sf_dir):
-    return stops.stop_triangles(stop_hulls(spark, sf_dir))
+    """Triangles by what they cover together, which is the hull."""
+    rows = stops.stop_triangles(stops.stop_hulls(stops.stop_parts(_labels(spark, sf_dir))))
+    one = F.expr("abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) * 500000")
+    return rows.groupBy("mmsi", "part_id").agg(F.round(F.sum(one), 3).alias("area")).filter("area > 0")
+
+
+@query(_LINES + f" SELECT mmsi, pos, round({_haversine('x', 'y', 'x2', 'y2')} / 1.0 * {geo.MS_TO_KNOT}, 3) AS knots, x - x2 AS dx, y - y2 AS dy, x AS from_x, m::DOUBLE AS from_m, y2 AS to_y, x AS flat_x, y AS flat_y FROM l WHERE m2 IS NOT NULL")
+def points_and_lines(spark, sf_dir):
+    """Vertices and lines as values, the same without their measure, differences of points, and knots."""
+    rows = seg.lines(view.points(spark, sf_dir))
+    line = geo.line(geo.coord("x", "y", "m"), geo.coord("x2", "y2", "m2"))
+    dx, dy = geo.point_difference("x", "y", "x2", "y2")
+    rows = rows.withColumns({"line": line, "dx": dx, "dy": dy, "knots": F.round(geo.haversine("x", "y", "x2", "y2") * geo.MS_TO_KNOT, 3)})
+    flat = geo.without_measure("line.from")
+    return rows.select("mmsi", "pos", "knots", "dx", "dy", F.col("line.from.x").alias("from_x"), F.col("line.from.m").alias("from_m"), F.col("line.to.y").alias("to_y"), flat["x"].alias("flat_x"), flat["y"].alias("flat_y"))
+
+
+@query(_cut(f"step_s < {SECONDS}") + _SUMMARY)
+def csv_export(spark, sf_dir):
+    """A report of segments, written as one CSV file and read again."""
+    path = shared_path(spark, "report")
+    sinks.export_csv(seg.summaries(seg.segment(view.points(spark, sf_dir), _TIME)), path)
+    return spark.read.option("header", True).schema("mmsi int, seg_id bigint, n_points bigint, m_first bigint, m_last bigint").csv(path)
 
 
 @query(_cut(f"step_s < {SECONDS}") + """ SELECT mmsi, min(t) AS t_start_s, CAST(CASE WHEN count(*) = 1 THEN 0 ELSE max(t) - min(t) END AS DOUBLE) AS duration_s FROM s GROUP BY mmsi, seg_id HAVING seg_id % 3 <> 0""")
