@@ -28,11 +28,11 @@ def lines_after(docs):
 
 
 def near_components(docs):
-    """id -> least id of its component (85 of 100 four-word shingles)."""
+    """id -> least id of its component (80 of 100 five-word shingles)."""
     sets = {}
     for i, t in docs:
         w = t.encode().lower().split()
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     by, up = {}, {i: i for i in sets}
     for i, s in sets.items():
         for g in s:
@@ -45,7 +45,7 @@ def near_components(docs):
 
     for i, s in sets.items():
         for j, c in Counter(j for g in s for j in by[g] if j < i).items():
-            if 100 * c >= 85 * (len(s) + len(sets[j]) - c):
+            if 100 * c >= 80 * (len(s) + len(sets[j]) - c):
                 a, b = sorted((top(i), top(j)))
                 up[b] = a
     return {i: top(i) for i in sets}

@@ -53,11 +53,12 @@ def corpus():
 @pytest.mark.parametrize(("n", "num", "den", "part"), [(4, 85, 100, 4096), (4, 85, 100, 3), (1, 6, 10, 4096), (2, 7, 10, 5)])
 def test_against_brute_force(spark, monkeypatch, n, num, den, part):
     monkeypatch.setattr(nj, "LIST", part)
+    monkeypatch.setattr(nj, "SPLIT", 4096 if part == 4096 else 2)  # else nearly all nodes are salted
     monkeypatch.setattr(common, "BUCKET_KEYS", 500)
     monkeypatch.setattr(common, "CHUNK_BYTES", 6000)
     rows = [(i * 7 % 1000, t) for i, t in enumerate(corpus())] + [(None, "only once in all of this"), (5, "only once in all of this")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, size int")
-    got = sorted((tuple(r) for r in nj.ngram_join(docs, n, num, den).collect()), key=str)
+    got = sorted((tuple(r)[:3] for r in nj.ngram_join(docs, n, num, den).collect()), key=str)
     assert got == brute(rows, n, num, den)
 
 
@@ -71,9 +72,28 @@ def test_parity_is_a_lower_bound():
         assert far <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("split", [4096, 1])
+def test_derived_answers(spark, monkeypatch, split):
+    """Links found through a similar set are those found by comparing the sets."""
+    monkeypatch.setattr(nj, "SPLIT", split)
+    sets = {}
+    for k in range(12):
+        base = {RNG.randrange(400) for _ in range(60)} if k % 3 else {*range(30 + k)}
+        sets[k * 10] = base
+        for j in range(1, 8):
+            sets[k * 10 + j] = base - set(RNG.sample(sorted(base), RNG.randint(0, 5))) | {RNG.randrange(400) for _ in range(RNG.randint(0, 5))}
+    nodes = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "node long, grams array<long>")
+    rows = [(k, k // 10 * 10, sorted(sets[k] - sets[k // 10 * 10]), sorted(sets[k // 10 * 10] - sets[k])) for k in sets if k % 10]
+    heads = spark.createDataFrame(rows, "a long, head long, more array<long>, less array<long>")
+    pairs = [(a, b) for a in sets if a % 10 for b in sets if a != b]
+    got = {tuple(r) for r in nj.derive(spark.createDataFrame(pairs, "a long, b long"), nodes, heads, 85, 100).collect()}
+    want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert got == want and want
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
-    assert sorted(map(tuple, nj.ngram_join(docs).collect())) == [(1, 0, 1), (2, 0, 2)]
+    assert sorted(tuple(r)[:3] for r in nj.ngram_join(docs).collect()) == [(1, 0, 1), (2, 0, 2)]
     assert nj.ngram_join(docs.limit(0)).count() == 0
 
 

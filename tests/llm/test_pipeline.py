@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as cp
-from tests_llm_brute import contaminated, lines_after, near_components  # noqa: F401
+from plain_versions import contaminated, lines_after, near_components  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -63,6 +63,15 @@ def test_join_stage_on_copies(spark, stages):
     assert kept == [(i, t) for i, t in rows(docs) if least[i] == i]
 
 
+def test_join_stage_goes_by_row(spark):
+    """Of two rows with one id, one a copy of another document's text, only the copy goes."""
+    text, other = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows_in = [(3, text, "x"), (5, text, "x"), (5, other, "x"), (5, other, "x"), (None, text, "x"), (None, "alone in all of the table", "x"), (7, None, "x"), (8, "", "x"), (7, None, "y")]
+    docs = spark.createDataFrame(rows_in, "doc_id long, text string, _id string")
+    got = sorted(((r.doc_id, r.text) for r in cp.join_near(spark, docs, DIR).collect()), key=str)
+    assert got == sorted([(3, text), (5, other), (None, "alone in all of the table"), (7, None), (7, None), (8, "")], key=str)
+
+
 def test_decontamination_stage(spark, stages):
     items = duckdb.sql(f"select text from '{DIR}/benchmark.parquet'").fetchall()
     for name in ("ngram_join", "input"):

@@ -12,7 +12,7 @@ place, has a Jaccard similarity of num / den or more with it.  The join is exact
 4. Candidates send their words to the line's chunk, which verifies the Jaccard similarity.
 5. Lines that had more candidates than a bucket kept, none of which matched, ask that bucket again, for all they have there.
 
-Null, empty and blank lines are never removed.  Of rows with equal ids (or null ids, which come first) the order is that of the input files.  Texts keep
+Null, empty and blank lines are never removed; an empty table gives an empty one.  A very long text is a chunk of its own.  Of rows with equal ids (or null ids, which come first) the order is that of the input files.  Texts keep
 their other lines as they are.  Other columns pass through, whatever their names.
 """
 
@@ -172,6 +172,7 @@ def post(chunk: int, lines: Lines, said: list[tuple[int, bytes]], n: int, drop:
     code_of = code[rare]  # of a rank
     mine = np.zeros(len(lines.size), bool)
     mine[own] = True
+    mine &= lines.size * den >= num * (lines.size + 1)  # a set so small is alike to none but equal ones
     tokens = mine[lines.line]
     key = (lines.line[tokens] << 32) | rank[lines.word[tokens]]
     key.sort()

@@ -4,16 +4,18 @@ Two sets link when 100 * |A ^ B| >= 85 * |A v B|.  The join is exact.
 
 1. How many sets hold each n-gram is counted (a keyed exchange of distinct hashes), which orders n-grams by rarity.  Only sets with an n-gram in
    their prefix (size - ceil(.85 size) + 1 rarest ones) that another set holds too can link at all.  Equal sets are one node.
-2. The prefixes make an index of lists.  Skipping by set relations, a node is first joined with the one least node that it shares most lists with; a verified
-   link makes it answer for its partner: what is in one component needs no further comparison.
+2. The prefixes make an index of lists.  Skipping by set relations, a node is first joined with the one least node that it shares most lists with, its head; a verified
+   link makes the head answer for it: what is in one component needs no further comparison, and where the node is compared with another set later on, its answer is derived from
+   the head's, which is computed once for all its nodes, by the n-grams that the two differ in (`derive`).
 3. Lists that still hold several components are compared across these: a list is cut into blocks by position, and a pair
    of blocks is skipped whole when the positions alone rule a link out; length, position and a parity sketch (a lower bound of the
    symmetric difference) rule out single pairs.  In each round a node is verified against its nearest node of another component, one pair a node, and
    components grow; when a round finds no link, all pairs still left are verified.
 
-Lists longer than `LIST` are dealt out in pairs of parts, so no task holds more than two parts of one.  Equal sets, of any number, are collapsed by
+Lists longer than `LIST` are dealt out in pairs of parts, so no task holds more than two parts of one, and a node that very many are compared with is salted.  Equal sets, of any number, are collapsed by
 partial aggregation before they are shuffled.  Null and empty texts have an empty set and link with nothing.  Rows with equal ids are
-joined each for itself; a null id is never a component's name unless all its documents have none.
+joined each for itself; a null id is never a component's name unless all its documents have none.  Ties between nodes go to the least hash.  An empty table gives no rows; other columns are
+not read, whatever their names.  A very long text is a chunk of its own, and its set one row: a worker holds some 60 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, exac
 
 #: Entries of a list that one part holds, about.
 LIST = 4096
+#: Rows with one node that one copy of its n-grams serves, about; and rows of a table of hot nodes that is broadcast.
+SPLIT, BROADCAST = 4096, 1 << 20
 #: 64-bit words of the parity sketch.
 SKETCH = 16
 
@@ -127,14 +131,51 @@ def _fits(num: int, den: int, n, m, at_n, at_m):
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(n - at_n, m - at_m) >= need)
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    right = nodes.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
-    left = nodes.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
+def with_grams(rows: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """Join the n-grams of the node `name` to rows with columns a and b.  A node in many rows is salted: its n-grams are copied once for about `SPLIT` of them, and these spread."""
+    hot = scratch(rows.groupBy(name).agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select(name, F.ceil(F.col("n") / SPLIT).alias("salts")), "hot")
+    grams = nodes.select(F.col("node").alias(name), F.col("grams").alias(f"grams_{name}"))
+    n = hot.count()
+    if not n:
+        return rows.join(grams, name)
+    hot = F.broadcast(hot) if n <= BROADCAST else hot
+    rows = rows.join(hot, name, "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("a", "b"), "salts")).otherwise(0)).drop("salts")
+    grams = grams.join(hot, name, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return rows.join(grams, [name, "salt"]).drop("salt")
+
+
+def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, grams_a, grams_b, common of pairs."""
     # the side with a hot node goes first, while its rows are light
-    both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    return both.withColumn("common", common).filter(F.col("common") * den >= (F.size("grams_a") + F.size("grams_b") - F.col("common")) * num).select("a", "b")
+    both = with_grams(with_grams(pairs.select("a", "b"), nodes, "b"), nodes, "a")
+    return both.withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
+
+
+def _alike(common, size_a, size_b, num: int, den: int):
+    return common * den >= (size_a + size_b - common) * num
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, and what a has more and less than b."""
+    both = compared(pairs, nodes).filter(_alike(F.col("common"), F.size("grams_a"), F.size("grams_b"), num, den))
+    return both.select("a", "b", F.array_except("grams_a", "grams_b").alias("more"), F.array_except("grams_b", "grams_a").alias("less"))
+
+
+def derive(pairs: DataFrame, nodes: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, where a is known by its difference from a similar set, its head (heads: a, head, more, less).  The head's answer for b is computed once for all of its
+    sets: common(a, b) = common(head, b) + |more ^ b| - |less ^ b|.  Mostly the sizes of the differences decide already; else they are compared with b, and a itself never is."""
+    named = pairs.select("a", "b").join(heads, "a")
+    asked = named.select(F.col("head").alias("a"), "b").distinct()
+    whole = nodes.select(F.col("node").alias("head"), F.size("grams").alias("size_head")), nodes.select(F.col("node").alias("b"), F.size("grams").alias("size_b"))
+    answers = compared(asked.filter("a <> b"), nodes).select(F.col("a").alias("head"), "b", "common")
+    answers = answers.union(asked.filter("a = b").select(F.col("a").alias("head"), "b", F.lit(None).cast("int")))
+    answers = answers.join(whole[0], "head").join(whole[1], "b").withColumn("common", F.coalesce("common", "size_b"))
+    named = named.join(answers, ["head", "b"]).withColumn("size_a", F.col("size_head") + F.size("more") - F.size("less"))
+    alike = lambda c: _alike(c, F.col("size_a"), F.col("size_b"), num, den)
+    named = named.filter(alike(F.col("common") + F.size("more"))).withColumn("sure", alike(F.col("common") - F.size("less")))
+    named = scratch(named.select("a", "b", "more", "less", "common", "size_a", "size_b", "sure"), "derived")
+    common = F.col("common") + F.size(F.array_intersect("more", "grams_b")) - F.size(F.array_intersect("less", "grams_b"))
+    return named.filter("sure").select("a", "b").union(with_grams(named.filter("not sure"), nodes, "b").filter(alike(common)).select("a", "b"))
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
@@ -219,19 +260,22 @@ def links(found: DataFrame, num: int, den: int) -> DataFrame:
     prefix = F.col("size") - F.ceil(F.col("size") * num / F.lit(den)).cast("long") + 1
     listed = F.slice("grams", (F.col("skip") + 1).cast("int"), (prefix - F.col("skip")).cast("int"))
     index = nodes.select("node", "size", "skip", F.posexplode(listed).alias("place", "gram")).select("gram", "node", "size", (F.col("place") + F.col("skip")).alias("place"))
-    heads = index.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "place")).alias("head")).filter("n > 1")
-    heads = scratch(heads, "heads")
+    lists = index.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "place")).alias("head")).filter("n > 1")
+    lists = scratch(lists, "lists")
 
     # 1: with the head of most lists in common
-    met = index.join(heads, "gram").filter(F.col("node") != F.col("head.node")).filter(_fits(num, den, F.col("size"), F.col("head.size"), F.lit(0), F.lit(0)))
+    met = index.join(lists, "gram").filter(F.col("node") != F.col("head.node")).filter(_fits(num, den, F.col("size"), F.col("head.size"), F.lit(0), F.lit(0)))
     met = met.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.count("*").alias("shared"))
     met = met.groupBy("a").agg(F.max(F.struct("shared", -F.col("b"))).alias("top")).select("a", (-F.col("top")["col2"]).alias("b"))
-    links = scratch(verify(met, nodes, num, den), "linked")
+    heads = scratch(verify(met, nodes, num, den).withColumnRenamed("b", "head"), "heads")
+    links = heads.select("a", F.col("head").alias("b"))
     label = components(spark, links)
 
     # 2: across components
-    shared = scratch(index.join(heads.select("gram", "n"), "gram"), "index")
-    n_tasks = max(spark.sparkContext.defaultParallelism, shared.count() // 20_000 + 1)
+    shared = scratch(index.join(lists.select("gram", "n"), "gram"), "index")
+    # every entry of a list is dealt once for each of the list's parts
+    dealt = lists.agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(LIST)))).first()[0] or 0
+    n_tasks = max(spark.sparkContext.defaultParallelism, dealt // 20_000 + 1)
     best, tried = 3, scratch(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried")
     while True:
         named = scratch(shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
@@ -243,7 +287,9 @@ def links(found: DataFrame, num: int, den: int) -> DataFrame:
             near = pairs.select(each.alias("p"), "far").groupBy("p.node").agg(F.min(F.struct("far", "p.other")).alias("near"))
             pairs = near.select(F.least("node", "near.other").alias("a"), F.greatest("node", "near.other").alias("b")).distinct()
         pairs = scratch(pairs.select("a", "b"), "pairs")
-        fresh = scratch(verify(pairs, nodes, num, den), "linked")
+        known = heads.select("a")
+        fresh = verify(pairs.join(known, "a", "left_anti"), nodes, num, den).select("a", "b")
+        fresh = scratch(fresh.union(derive(pairs.join(known, "a", "left_semi"), nodes, heads, num, den)), "linked")
         more = fresh.limit(1).count()
         if more:
             links = links.union(fresh)
@@ -255,19 +301,19 @@ def links(found: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id of every row; also row_key, a hash of its id and text, and component, which is alike for the rows of one component only (null for an empty set)."""
     found = scratch(sets(docs, n, num, den, id_col, text_col), "sets")
     label = links(found, num, den)
     named = found.filter("size > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    named = scratch(named.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("label")), "named")
-    least = scratch(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    named = scratch(named.join(least, "label").select("sig", "component_id"), "component")
-    rows = found.select("doc_id", "size", F.when(F.col("size") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
-    return rows.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = scratch(named.join(label.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("component")), "named")
+    least = scratch(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    named = scratch(named.join(least, "component").select("sig", "component", "component_id"), "component")
+    rows = found.select("doc_id", "row_key", "size", F.when(F.col("size") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
+    return rows.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "component")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(documents(spark, sf_dir))
+    return ngram_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op7_ngram_join": op7_ngram_join}
