@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from wakeline.llm import decontamination, language_id, line_dedup, ngram_join, packing
 from wakeline.llm.common import documents, scratch
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language go on; those without letters, or too mixed to tell, do not."""
+    """Documents whose words are in learned languages go on, also those that mix them; those without letters, or whose words are on average in none, do not."""
     return language_id.accepted(docs, language_id.train(docs))
 
 
@@ -29,12 +28,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document that gives it its name stays; of equal rows, one.  Rows without an id have no component and stay."""
-    named = ngram_join.ngram_join(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(named, docs["doc_id"] == named["_id"])
-    nth = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(1)))
-    kept = kept.withColumn("_text", F.xxhash64("text")).withColumn("_nth", nth).filter("_nth = 1").select(docs.columns)
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row stays: the one with the least id, then text.  Rows are told apart by id and text, and of rows
+    equal in both one stays; a row without an id stays only if its group has none with one.  Rows without words have no group and all stay."""
+    found = scratch(ngram_join.ngram_join(docs, n=5, num=80, den=100), "joined")
+    first = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
+    chosen = first.select(F.col("first.row_key").alias("_key"), F.col("first.doc_id").alias("_id"))
+    empty = found.filter("n_shingles = 0").select(F.col("row_key").alias("_key"), F.col("doc_id").alias("_id")).distinct()
+    rows = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_key"))
+    same = lambda other: (rows["_key"] == other["_key"]) & rows["_id"].eqNullSafe(other["_id"])
+    kept = rows.join(chosen, same(chosen), "left_semi").groupBy("_key", "_id").agg(F.first("_row").alias("_row"))
+    return kept.select("_row").union(rows.join(empty, same(empty), "left_semi").select("_row")).select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
