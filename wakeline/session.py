@@ -16,9 +16,13 @@ def session(app: str = "wakeline", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir), or in a temporary one where none is set."""
+    """A new path in the cluster's shared folder (spark.checkpoint.dir).  In local mode a temporary one if none is set; on a cluster that is an error."""
     import tempfile
     import uuid
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wakeline-")
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="wakeline-")
     return f"{where.rstrip('/')}/wakeline-{name}-{uuid.uuid4().hex}"
