@@ -72,10 +72,8 @@ def test_parity_is_a_lower_bound():
         assert far <= len(np.setxor1d(a, b))
 
 
-@pytest.mark.parametrize("split", [4096, 1])
-def test_derived_answers(spark, monkeypatch, split):
+def test_derived_answers(spark):
     """Links found through a similar set are those found by comparing the sets."""
-    monkeypatch.setattr(nj, "SPLIT", split)
     sets = {}
     for k in range(12):
         base = {RNG.randrange(400) for _ in range(60)} if k % 3 else {*range(30 + k)}

@@ -12,7 +12,7 @@ Two sets link when 100 * |A ^ B| >= 85 * |A v B|.  The join is exact.
    symmetric difference) rule out single pairs.  In each round a node is verified against its nearest node of another component, one pair a node, and
    components grow; when a round finds no link, all pairs still left are verified.
 
-Lists longer than `LIST` are dealt out in pairs of parts, so no task holds more than two parts of one, and a node that very many are compared with is salted.  Equal sets, of any number, are collapsed by
+Lists longer than `LIST` are dealt out in pairs of parts, so no task holds more than two parts of one, and a head that very many are compared with is salted (later rounds leave that to adaptive skew joins).  Equal sets, of any number, are collapsed by
 partial aggregation before they are shuffled.  Null and empty texts have an empty set and link with nothing.  Rows with equal ids are
 joined each for itself; a null id is never a component's name unless all its documents have none.  Ties between nodes go to the least hash.  An empty table gives no rows; other columns are
 not read, whatever their names.  A very long text is a chunk of its own, and its set one row: a worker holds some 60 bytes for each of its words.
@@ -144,10 +144,12 @@ def with_grams(rows: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     return rows.join(grams, [name, "salt"]).drop("salt")
 
 
-def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b, grams_a, grams_b, common of pairs."""
+def compared(pairs: DataFrame, nodes: DataFrame, salted: bool = False) -> DataFrame:
+    """a, b, grams_a, grams_b, common of pairs; `salted` if some b may be in very many."""
     # the side with a hot node goes first, while its rows are light
-    both = with_grams(with_grams(pairs.select("a", "b"), nodes, "b"), nodes, "a")
+    grams = nodes.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
+    rows = pairs.select("a", "b")
+    both = (with_grams(rows, nodes, "b") if salted else rows.join(grams.toDF("b", "grams_b"), "b")).join(grams, "a")
     return both.withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
 
 
@@ -155,9 +157,9 @@ def _alike(common, size_a, size_b, num: int, den: int):
     return common * den >= (size_a + size_b - common) * num
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def verify(pairs: DataFrame, nodes: DataFrame, num: int, den: int, salted: bool = False) -> DataFrame:
     """The pairs (a, b) that link, and what a has more and less than b."""
-    both = compared(pairs, nodes).filter(_alike(F.col("common"), F.size("grams_a"), F.size("grams_b"), num, den))
+    both = compared(pairs, nodes, salted).filter(_alike(F.col("common"), F.size("grams_a"), F.size("grams_b"), num, den))
     return both.select("a", "b", F.array_except("grams_a", "grams_b").alias("more"), F.array_except("grams_b", "grams_a").alias("less"))
 
 
@@ -166,7 +168,7 @@ def derive(pairs: DataFrame, nodes: DataFrame, heads: DataFrame, num: int, den:
     sets: common(a, b) = common(head, b) + |more ^ b| - |less ^ b|.  Mostly the sizes of the differences decide already; else they are compared with b, and a itself never is."""
     named = pairs.select("a", "b").join(heads, "a")
     asked = named.select(F.col("head").alias("a"), "b").distinct()
-    whole = nodes.select(F.col("node").alias("head"), F.size("grams").alias("size_head")), nodes.select(F.col("node").alias("b"), F.size("grams").alias("size_b"))
+    whole = nodes.select(F.col("node").alias("head"), F.size("grams").alias("size_head")), nodes.select(F.col("node").alias("b"), F.size("grams").alias("size_b")), nodes.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
     answers = compared(asked.filter("a <> b"), nodes).select(F.col("a").alias("head"), "b", "common")
     answers = answers.union(asked.filter("a = b").select(F.col("a").alias("head"), "b", F.lit(None).cast("int")))
     answers = answers.join(whole[0], "head").join(whole[1], "b").withColumn("common", F.coalesce("common", "size_b"))
@@ -175,7 +177,7 @@ def derive(pairs: DataFrame, nodes: DataFrame, heads: DataFrame, num: int, den:
     named = named.filter(alike(F.col("common") + F.size("more"))).withColumn("sure", alike(F.col("common") - F.size("less")))
     named = scratch(named.select("a", "b", "more", "less", "common", "size_a", "size_b", "sure"), "derived")
     common = F.col("common") + F.size(F.array_intersect("more", "grams_b")) - F.size(F.array_intersect("less", "grams_b"))
-    return named.filter("sure").select("a", "b").union(with_grams(named.filter("not sure"), nodes, "b").filter(alike(common)).select("a", "b"))
+    return named.filter("sure").select("a", "b").union(named.filter("not sure").join(whole[2], "b").filter(alike(common)).select("a", "b"))
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
@@ -267,7 +269,7 @@ def links(found: DataFrame, num: int, den: int) -> DataFrame:
     met = index.join(lists, "gram").filter(F.col("node") != F.col("head.node")).filter(_fits(num, den, F.col("size"), F.col("head.size"), F.lit(0), F.lit(0)))
     met = met.groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.count("*").alias("shared"))
     met = met.groupBy("a").agg(F.max(F.struct("shared", -F.col("b"))).alias("top")).select("a", (-F.col("top")["col2"]).alias("b"))
-    heads = scratch(verify(met, nodes, num, den).withColumnRenamed("b", "head"), "heads")
+    heads = scratch(verify(met, nodes, num, den, salted=True).withColumnRenamed("b", "head"), "heads")
     links = heads.select("a", F.col("head").alias("b"))
     label = components(spark, links)
 
