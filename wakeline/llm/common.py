@@ -153,23 +153,40 @@ def meet(chunks: DataFrame, heard: DataFrame, step: Callable[[int, bytes, list[t
     def run(part: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
             return blobs([]) if schema == ASK_SCHEMA else pd.DataFrame()
+        give_back()
         return step(int(part["chunk"].iloc[0]), part["payload"].iloc[0], list(zip(said["bucket"].tolist(), said["payload"].tolist())))
 
     return chunks.groupBy("chunk").cogroup(heard.groupBy("chunk")).applyInPandas(run, schema)
 
 
-_given_back = 0.0
+_asked, _giver = False, None
 
 
-def give_back(every: float = 2.0) -> None:
-    """Return freed memory to the system, now and then: workers live on from stage to stage, and what they keep adds to the executor's."""
-    import ctypes
+def give_back(after: float = 1.0) -> None:
+    """Return freed memory to the system in a moment, and once more a moment after the last call, when what is in hand is freed too: workers live on from stage to stage, and
+    what they keep adds to the executor's."""
+    import threading
+
+    global _asked, _giver
+    _asked = True
+    if _giver is None or not _giver.is_alive():
+        _giver = threading.Thread(target=_give, args=(after,), daemon=True)
+        _giver.start()
+
+
+def _give(after: float) -> None:
     import time
 
-    global _given_back
-    if time.monotonic() - _given_back < every:
-        return
-    _given_back = time.monotonic()
+    global _asked
+    while _asked:
+        _asked = False
+        time.sleep(after)
+        _trim()
+
+
+def _trim() -> None:
+    import ctypes
+
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

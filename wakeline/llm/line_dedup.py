@@ -462,6 +462,7 @@ def line_dedup(docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc_
     def clean(part: pa.Table, said: pa.Table) -> pa.Table:
         if not part.num_rows:
             return pa_schema.empty_table()
+        give_back()
         lines = Lines(part.column("lines")[0].as_py())
         heard = list(zip(said.column("bucket").to_pylist(), said.column("payload").to_pylist()))
         gone = own_flags(heard).view(bool) | verified(lines, heard, num, den)[0]

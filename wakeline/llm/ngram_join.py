@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, exact, meet, mix, n_buckets, pack_arrays, pack_table, scratch, send_counts, sum_counts, text_bytes, unpack_arrays, unpack_table
+from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, exact, give_back, meet, mix, n_buckets, pack_arrays, pack_table, scratch, send_counts, sum_counts, text_bytes, unpack_arrays, unpack_table
 
 #: Entries of a list that one part holds, about.
 LIST = 4096
@@ -222,6 +222,7 @@ def candidates(entries: DataFrame, n_tasks: int, num: int, den: int, best: int =
     """Pairs (a < b, far) across labels that the filters leave; with `best` only that many of the nearest to each node in a list."""
 
     def run(got: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         out = []
         for (_, i, j), g in got.groupby(["gram", "part_a", "part_b"], sort=False):
             label = g["label"].to_numpy()
@@ -249,6 +250,7 @@ def candidates(entries: DataFrame, n_tasks: int, num: int, den: int, best: int =
 def with_sketch(nodes: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
+            give_back()
             yield pd.DataFrame({"node": b["node"], "sketch": [parity(np.asarray(g, np.int64)).tobytes() for g in b["grams"]]})
 
     return nodes.select("node", "grams").mapInPandas(run, "node long, sketch binary")

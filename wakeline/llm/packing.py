@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wakeline.llm.common import documents, id_back, id_text, scratch
+from wakeline.llm.common import documents, give_back, id_back, id_text, scratch
 from wakeline.llm.tokenizer import cuts, tokenizer
 
 #: Pieces in a shard, about.
@@ -147,6 +147,7 @@ def pieces(docs: DataFrame, json_file: str, most: int, end_id: int | None, id_co
     def run(batches):
         encode = tokenizer(json_file).encode
         for b in batches:
+            give_back()
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 ids = np.concatenate([encode(text), end]).astype("<u4")
@@ -183,6 +184,7 @@ def place(found: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
         n, rounds, fan, handed = parts[k], len(parts), FAN, HANDED
 
         def run(key, rows):
+            give_back()
             part = key[0].as_py()
             rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "piece", "length", "ids_crc32") if c in rows.column_names])
             sizes, order, seq, off = rows.column("length").to_pylist(), [], [], []
