@@ -32,7 +32,7 @@ NGRAMS = (1, 2, 3, 4)
 LEXICON = 2000
 MEMORY = 300_000
 #: Words that one forward-backward run holds.
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 250_000
 UNDETERMINED = "und"
 
 
