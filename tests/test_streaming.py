@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from wakeline.operators import segmentation as seg
@@ -15,6 +17,13 @@ def run(df, tmp_path, name, mode="append"):
     return df.sparkSession.table(name)
 
 
+def wait(done, seconds=60):
+    end = time.monotonic() + seconds
+    while not done():
+        assert time.monotonic() < end
+        time.sleep(0.2)
+
+
 def test_segments_of_a_stream(spark, tmp_path):
     points = events_view.points(spark, DIR)
     points.select("mmsi", F.col("m").cast("double").alias("m"), "x", "y").repartition(1).write.parquet(str(tmp_path / "in"))
@@ -36,3 +45,23 @@ def test_sessions_of_a_stream(spark, tmp_path):
     want = {(r.mmsi, r.t_first): r.n_points for r in time_sessions(rows, 21_600).collect()}
     found = {(r.mmsi, r.t_first): r.n_points for r in got.collect()}
     assert found and found.items() <= want.items()
+
+
+def test_silence_does_not_reuse_numbers(spark, tmp_path):
+    """A ship that was silent long enough goes on with the next number; late vertices are counted."""
+    schema, where = "mmsi int, m double, x double, y double", str(tmp_path / "in")
+    put = lambda *m: spark.createDataFrame([(1, float(t), 0.0, 0.0) for t in m], schema).coalesce(1).write.mode("append").parquet(where)
+    put(0, 1, 2)
+    stream = segments(spark.readStream.schema(schema).parquet(where), SplitRule(None, 10), idle=1000)
+    q = stream.writeStream.outputMode("append").format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        got = lambda: sorted((r.seg_id, r.n_points, r.m_first, r.m_last, r.n_late) for r in spark.table("idle").collect())
+        wait(lambda: len(got()) == 1)
+        put(1, 3, 4)
+        put(50)
+        wait(lambda: len(got()) >= 3)
+    finally:
+        q.stop()
+    assert q.exception() is None
+    assert [r[0] for r in got()] == [0, 1, 2] and got()[0] == (0, 3, 0.0, 2.0, 0)
+    assert sum(r[4] for r in got()) == 1 and sum(r[1] for r in got()) == 6
