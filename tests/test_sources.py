@@ -40,6 +40,22 @@ def test_export(spark, tmp_path):
     assert file.read_text().split() == ["id", "0", "1", "2"]
 
 
+def test_embedded_database(spark):
+    """Reads by several connections, pushed-down windows, and a sink written twice, in an embedded database."""
+    db = tables.Database("", 0, "APP", "app", "", "APP", "org.apache.derby.iapi.jdbc.AutoloadedDriver", "jdbc:derby:memory:ships;create=true")
+    made = lambda ids: spark.createDataFrame([(i, float(i % 7), 10 * i) for i in ids], "mmsi int, sog double, t long").select("mmsi", "sog", F.timestamp_seconds("t").alias("timestamp"))
+    rows = made(range(100))
+    rows.write.format("jdbc").options(**db.options("SOG")).mode("overwrite").save()
+    got = db.read(spark, "SOG", 4, (0, 100))
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(got.collect()) == sorted(rows.collect())
+    window = tables.at_times(db.read(spark, "SOG"), 100, 200)
+    assert window.count() == 11 and "PushedFilters: [*" in window._jdf.queryExecution().toString()
+    for more, want in ((rows.limit(0), 100), (rows, 100), (made(range(50, 150)), 150), (made(range(50, 150)), 150)):
+        sinks.append_jdbc(more, db.options("SOG"), ("mmsi", "timestamp"))
+        assert db.read(spark, "SOG").count() == want
+
+
 def test_database():
     env = {"DB_HOSTNAME": "h", "DB_PORT": "5432", "DB_USERNAME": "u", "DB_PASSWORD": "p", "DB_NAME": "n"}
     db = tables.Database.from_env(env)

@@ -27,6 +27,8 @@ class Database:
     password: str
     name: str
     schema: str = "program_data"
+    driver: str = "org.postgresql.Driver"
+    url: str = ""  # in place of host, port and name, for other databases
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> Database:
@@ -37,7 +39,7 @@ class Database:
         return cls(env["DB_HOSTNAME"], int(env["DB_PORT"]), env["DB_USERNAME"], env["DB_PASSWORD"], env["DB_NAME"])
 
     def options(self, table: str) -> dict[str, str]:
-        return {"url": f"jdbc:postgresql://{self.hostname}:{self.port}/{self.name}", "user": self.username, "password": self.password, "dbtable": f"{self.schema}.{table}", "driver": "org.postgresql.Driver"}
+        return {"url": self.url or f"jdbc:postgresql://{self.hostname}:{self.port}/{self.name}", "user": self.username, "password": self.password, "dbtable": f"{self.schema}.{table}", "driver": self.driver}
 
     def read(self, spark: SparkSession, table: str, partitions: int = 1, ships: tuple[int, int] | None = None) -> DataFrame:
         """A table; with a range of ship ids, read by that many connections at once."""
