@@ -88,6 +88,11 @@ def test_rezoom(spark):
     assert (r.a, r.b, r.c, r.d) == (-3, 1, -12, 5)
 
 
+def test_probe_vector(spark):
+    dx, dy = geo.probe_vector(F.lit(8.0), F.lit(56.0), F.lit(0.5), F.lit(0.25), F.lit(0.25), *map(F.lit, (8.0, 56.0, 10.0, 56.0, 8.0, 60.0)))
+    assert tuple(one(spark, dx=dx, dy=dy)) == (0.5, 1.0)
+
+
 def test_occupation(spark):
     def seconds(x2, ba, bb, bc):
         ends = spark.createDataFrame([(8.0, 56.0, 0.0, x2, 56.0, 120.0, 1.0, 1.0, 10.0, 10.0)], "x double, y double, m double, x2 double, y2 double, m2 double, a double, b double, c double, d double")

@@ -128,6 +128,12 @@ def length2(x, y) -> Column:
     return col(x) * col(x) + col(y) * col(y)
 
 
+def probe_vector(x, y, ba, bb, bc, x1, y1, x2, y2, x3, y3) -> tuple[Column, Column]:
+    """From the point (x, y) to the one that has these weights in the triangle."""
+    px, py = from_barycentric(ba, bb, bc, x1, y1, x2, y2, x3, y3)
+    return px - col(x), py - col(y)
+
+
 def probe_ratio(px, py, x1, y1, x2, y2) -> Column:
     """Where a point falls along a line, as a part of it; 0 on a line without length; not held to 0..1."""
     dx, dy = col(x2) - col(x1), col(y2) - col(y1)
