@@ -39,3 +39,14 @@ def overlap(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right
     on += [F.col("a._bin") == _bin(F.greatest(F.col(f"a.{lb}"), F.col(f"b.{rb}")), width)]
     out = a.alias("a").join(b.alias("b"), on)
     return out.select(*[F.col(f"a.{c}") for c in left.columns], *[F.col(f"b.{c}") for c in right.columns if c not in key])
+
+
+def gather(spans: DataFrame, facts: DataFrame, span: tuple[str, str], fact_span: tuple[str, str], width: int, key: Sequence[str], aggs: dict[str, Column], on: str = "mmsi") -> DataFrame:
+    """`aggs` over the facts that share a moment with each interval of `spans`, a row for each (key, interval); without any fact the aggregates see NULLs.  Facts may count
+    several times, once a shared bin at most, so aggregates should not mind repetition (extremes).  One join, however many kinds of facts are united in `facts`."""
+    (lb, le), (rb, re) = span, fact_span
+    bins = F.when(F.col(le) >= F.col(lb), F.sequence(_bin(F.col(lb), width), _bin(F.col(le), width))).otherwise(F.array(_bin(F.col(lb), width)))
+    a = spans.select(*key, lb, le).withColumn("_bin", F.explode(bins))
+    b = _spread(facts, rb, re, width).withColumnsRenamed({on: "_on", "_bin": "_there"})
+    touch = (F.col(on) == F.col("_on")) & (F.col("_bin") == F.col("_there")) & (F.col(lb) <= F.col(re)) & (F.col(rb) <= F.col(le)) & (F.col(le) >= F.col(lb))
+    return a.join(b, touch, "left").groupBy(*key, lb, le).agg(*[v.alias(k) for k, v in aggs.items()])

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
-from wakeline.operators.lookups import between, by_ship
-from wakeline.operators.ranges import overlap
+from wakeline.operators.lookups import by_ship
+from wakeline.operators.ranges import gather
 
 CELL = ("x", "y", "z")
 
@@ -30,10 +30,13 @@ def ship_tiles(cells: DataFrame, sog: DataFrame, draught: DataFrame, dimensions:
     spans = cells if merged else union_intervals(cells, ("mmsi", *CELL))
     key = ("mmsi", *CELL)
     real = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
-    time = spans.groupBy(*key).agg(F.sum(F.col("t_end_ns") - F.col("t_begin_ns")).alias("cell_oc_ns"))
-    speed = between(spans, sog, "t_ns", "t_begin_ns", "t_end_ns", bin_ns, "seq").groupBy(*key).agg(F.min(real("sog")).alias("min_sog"), F.max(real("sog")).alias("max_sog"))
-    deep = overlap(spans, draught, ("t_begin_ns", "t_end_ns"), ("d_begin_ns", "d_end_ns"), bin_ns).groupBy(*key).agg(F.max(real("draught")).alias("max_draught"))
-    out = time.join(speed, list(key), "left").join(deep, list(key), "left")
+    last = sog.groupBy("mmsi", "t_ns").agg(F.max(F.struct("seq", "sog")).getField("sog").alias("sog"))
+    speeds = last.select("mmsi", F.col("t_ns").alias("f_begin"), F.col("t_ns").alias("f_end"), real("sog").alias("sog"), F.lit(None).cast("double").alias("draught"))
+    depths = draught.select("mmsi", F.col("d_begin_ns").alias("f_begin"), F.col("d_end_ns").alias("f_end"), F.lit(None).cast("double").alias("sog"), real("draught").alias("draught"))
+    aggs = {"min_sog": F.min("sog"), "max_sog": F.max("sog"), "max_draught": F.max("draught")}
+    each = gather(spans, speeds.unionByName(depths), ("t_begin_ns", "t_end_ns"), ("f_begin", "f_end"), bin_ns, key, aggs)
+    time = F.sum(F.col("t_end_ns") - F.col("t_begin_ns")).alias("cell_oc_ns")
+    out = each.groupBy(*key).agg(time, F.min("min_sog").alias("min_sog"), F.max("max_sog").alias("max_sog"), F.max("max_draught").alias("max_draught"))
     out = by_ship(out, dimensions.select("mmsi", "width", "length"), ("length", "width"))
     return out.select(
         "mmsi", *CELL, "max_draught", F.lit(1).cast("bigint").alias("distinct_ship_count"), "min_sog", "max_sog", "cell_oc_ns",
