@@ -2,9 +2,10 @@ import itertools
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from wakeline.llm.language_id import BUCKETS, Crf, Predictor, accepted, fit, language_id, train
+from wakeline.llm.language_id import BUCKETS, Crf, Predictor, accepted, fit, language_id, slices, train
 
 DIR = "/root/testdata/sf0.01"
 
@@ -73,3 +74,13 @@ def test_odd_tables(spark):
     got = language_id(rows, train(rows)).collect()
     assert len(got) == 4 and all(r.lang_pred == "und" and r.score == 0.0 for r in got)
     assert language_id(rows.limit(0), None).count() == 0 and accepted(rows, None).count() == 0
+
+
+def test_slices():
+    texts = ["a" * 5, None, "", "b" * 30, "é" * 4, None, "c"]
+    for most in (1, 9, 30, 1000):
+        for start in (0, 2):
+            parts = [p.to_pylist() for p in slices(pa.array(texts).slice(start), most)]
+            assert [t for p in parts for t in p] == texts[start:]
+            assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= most for p in parts)
+    assert list(slices(pa.array([], pa.string()), 9)) == []

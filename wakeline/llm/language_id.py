@@ -18,10 +18,12 @@ name.  Every input row gives one row, also of repeated rows and ids.  Other colu
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ LEXICON = 2000
 MEMORY = 300_000
 #: Words that one forward-backward run holds.
 BATCH_WORDS = 250_000
+#: Bytes of text that are Python strings at a time, when documents are accepted; a longer text is alone.
+SLICE_BYTES = 4 << 20
 UNDETERMINED = "und"
 
 
@@ -303,6 +307,16 @@ def language_id(docs: DataFrame, crf: Crf | None, folds: int = 5, id_col: str =
     return id_back(rows.mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double"))
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The texts in order, in parts of at most `most` bytes; a longer text is a part of its own."""
+    after = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def accepted(docs: DataFrame, crf: Crf | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """The documents, in their own columns, whose words are on average in some learned language with a probability of `least` or more: documents in one language, and
     those that mix several.  Documents without a letter go."""
@@ -312,8 +326,10 @@ def accepted(docs: DataFrame, crf: Crf | None, least: float = 0.4, text_col: str
     def run(batches):
         predictor = Predictor(shared.value)
         for b in batches:
-            got = predictor.predict(b.column(place).to_pylist(), sure=True)
-            yield b.filter(pa.array([g[0] != UNDETERMINED and g[1] >= least for g in got], pa.bool_()))
+            keep = []
+            for part in slices(b.column(place), SLICE_BYTES):
+                keep += [g[0] != UNDETERMINED and g[1] >= least for g in predictor.predict(part.to_pylist(), sure=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
             give_back()
 
     return docs.mapInArrow(run, docs.schema)
