@@ -32,9 +32,9 @@ def sweep_job(points: DataFrame, path: str, begin: float, end: float, metric: st
 
 
 def tile_job(points: DataFrame, sog: DataFrame, draught: DataFrame, dimensions: DataFrame, zooms: list[int], sampling: int = 22, bin_ns: int = 86_400_000_000_000) -> DataFrame:
-    """Tiles of all ships at each zoom, from tracks rastered once at the deepest of them.  Tables as for `ship_tiles`."""
+    """Tiles of all ships at each zoom, from tracks rastered once at the deepest of them.  Tables as for `ship_tiles`; times as in `narrow`."""
     cells = raster.linestring_cells(points, max(zooms), sampling)
-    return tiles.pyramid(tiles.ship_tiles(cells, sog, draught, dimensions, bin_ns), sorted(zooms, reverse=True))
+    return tiles.narrow(tiles.pyramid(tiles.ship_tiles(cells, sog, draught, dimensions, bin_ns), sorted(zooms, reverse=True)))
 
 
 def stop_job(points: DataFrame, config: stops.StopConfig = stops.StopConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
