@@ -20,7 +20,7 @@ def long_dir(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name, zooms", [("tile_pyramid", 3), ("tile_rezoom", 1)])
+@pytest.mark.parametrize("name, zooms", [("tile_pyramid", 3), ("tile_rezoom", 1), ("tile_heatmap", 1)])
 def test_query(spark, long_dir, name, zooms):
     got = queries.QUERIES[name](spark, long_dir).collect()
     assert [(r.cell_oc_ns, r.distinct_ship_count) for r in got] == [(2 * SECONDS * 10**9, 2)] * zooms
