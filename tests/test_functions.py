@@ -66,6 +66,16 @@ def test_geodesic():
     assert inverse(0.0, 0.0, 179.9, 0.1)[0] > 1.9e7
 
 
+def test_geodesics_settle_row_by_row():
+    """To the last digits, and the same whatever rows are beside them: a footprint's seconds are cut to whole ones."""
+    near, far = (10.011, 55.984, 10.008, 55.983), (0.0, 0.0, 179.0, 0.3)
+    alone, beside = (inverse(*zip(near, other)) for other in (near, far))
+    assert [v[0] for v in alone] == [v[0] for v in beside]
+    assert alone[0][0] == pytest.approx(217.85893293888893, rel=1e-11)
+    there = [direct([8.0, 8.0], [56.0, 56.0], [1.0, 1.0], [12.0, metres]) for metres in (12.0, 1.9e7)]
+    assert [v[0] for v in there[0]] == [v[0] for v in there[1]]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.floats(-170, 170), st.floats(-80, 80), st.floats(0, 2 * math.pi), st.floats(0.01, 1e6))
 def test_direct_undoes_inverse(x, y, a, d):
