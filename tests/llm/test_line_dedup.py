@@ -60,3 +60,28 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string")
     assert sorted((r.text, r._n_lines) for r in ld.line_dedup(docs).select("*").fillna("-", ["text"]).collect()) == [("", 0), ("-", 0)]
     assert ld.line_dedup(docs.limit(0)).count() == 0
+
+
+def test_word_hashes():
+    words = [b"a", b"a\0", b"abcdefgh", b"abcdefgi", b"abcdefgh\0", b"abcdefghi", b"abcdefghabcdefgh", b"\xc3\xa9\x08\x0e\x1f!\x7f\xa0", b"x" * 63, b"x" * 64, b"x" * 65, b"x" * 66, b"y" * 500]
+    data = b" \t" + b" \n\x0b\x0c\r".join(words * 2) + b"\n"
+    found, start = ld.words_at(data)
+    assert [data[i:].split()[0] if not data[i:].startswith(b"\xc3") else words[7] for i in start.tolist()] == words * 2
+    assert list(found[: len(words)]) == list(found[len(words) :]) and len(set(found.tolist())) == len(words)
+    for w in words:  # alike wherever the word stands, and at the ends
+        assert ld.words_at(w)[0].tolist() == [found[words.index(w)]] and ld.words_at(b"z " + w + b" z")[0][1] == found[words.index(w)]
+    assert [len(a) for a in ld.words_at(b"")] == [len(a) for a in ld.words_at(b" \n ")] == [0, 0]
+
+
+def test_rows_stay_in_the_exchange(spark):
+    """Texts are read and dealt once; of all steps in Python only the last is given the compressed rows."""
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    plan = ld.line_dedup(docs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [sum("MapInArrow" in x for x in plan), sum("MapInArrow" in x and "rows#" in x for x in plan)]
+    assert below[0] == below[1] > 1  # all alike, so that one exchange serves all
+    assert sum("octet_length(rows#" in x for x in plan) == below[0] - 1
+
+
+def test_nothing_heard_nothing_decoded():
+    lines = ld.Lines(b"not a blob", b"nor this")
+    assert ld.show(7, lines, [(-8, b"own")]) == [(-8, 7, b"own")]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wakeline.llm.common import ASK_SCHEMA, CHUNK_BYTES, bucket_of, byte_words, documents, give_back, mix, n_buckets, own_row, pack_arrays, pack_sorted, text_bytes, unpack_arrays, unpack_sorted
+from wakeline.llm.common import ASK_SCHEMA, CHUNK_BYTES, bucket_of, documents, give_back, mix, n_buckets, own_row, pack_arrays, pack_sorted, text_bytes, unpack_arrays, unpack_sorted, word_hashes
 
 #: Candidates that a line keeps in a bucket at first.
 K = 4
@@ -37,12 +37,41 @@ K = 4
 FOLDS = (96, 384, 1536)
 #: Bits of a word's key beyond those that number all words: two words share a key about once in 2 ** SPARE_BITS words.
 SPARE_BITS = 18
-#: Bytes of text that are split into words at once.
-SPLIT = 1 << 20
-
-
-def encode_lines(texts) -> list[np.ndarray]:
-    """Lines of each text (an empty one has one); size of each line's set; words of all sets, as differences of their numbers; sorted hashes of the words."""
+#: Bytes of text that are split into words at once: few, so that the arrays made of them stay in the processor's cache.
+SPLIT = 1 << 18
+#: Words of more bytes are hashed one by one.
+LONG = 64
+#: Words of candidates that are compared at once, about.
+AT_ONCE = 1 << 18
+
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs without ASCII white space), read eight bytes at a time, and where they start."""
+    padded = data + bytes(8)  # any eight bytes from within can be read
+    x = np.frombuffer(padded, np.uint8, len(data))
+    space = np.ones(len(x) + 2, bool)
+    np.less(x - np.uint8(9), 5, out=space[1:-1])
+    space[1:-1] |= x == 32
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix((eight[start] & _LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * _SEED)
+    more, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        out[more] = mix(out[more] ^ (eight[start[more] + at] & _LOW[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        out[long] = word_hashes([data[i : i + k] for i, k in zip(start[long].tolist(), size[long].tolist())])
+    return out, start
+
+
+def encode_lines(texts) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Lines of each text (an empty one has one) and size of each line's set; words of all sets, as differences of their numbers, and sorted hashes of the words."""
     data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     n_lines = np.array([d.count(b"\n") + 1 for d in data], np.int64)
     hashes, lines, first, held, size = [], [], 0, [], 0
@@ -51,41 +80,69 @@ def encode_lines(texts) -> list[np.ndarray]:
         size += len(d)
         if size >= SPLIT or k == len(data) - 1:
             joined = b"\n".join(held)
-            h, start = byte_words(joined)
+            h, start = words_at(joined)
             breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
             hashes.append(h)
-            lines.append(np.searchsorted(breaks, start) + first)
+            lines.append(np.repeat(np.arange(first, first + len(breaks) + 1), np.diff(np.searchsorted(start, breaks), prepend=0, append=len(start))))
             first, held, size = first + len(breaks) + 1, [], 0
     total = int(n_lines.sum())
     if not hashes:
         none = np.empty(0, np.int64)
-        return [n_lines, none, none, none.view(np.uint64), none.view(np.uint64)]
+        return [n_lines, none], [none, none.view(np.uint64), none.view(np.uint64)]
     code, found = pd.factorize(np.concatenate(hashes))  # a hash table: quicker than sorting all words
     order = np.argsort(found)
     number = np.empty(len(found), np.int64)
     number[order] = np.arange(len(found))
-    distinct = found[order]
     key = np.concatenate(lines) << 32 | number[code]
+    del hashes, lines, code
     key.sort()
-    key = key[np.diff(key, prepend=-1) != 0]
-    line, number = key >> 32, key & 0xFFFFFFFF
-    gap = np.diff(number, prepend=0)
-    new = np.diff(line, prepend=-1) != 0
-    gap[new] = number[new]
-    return [n_lines, np.bincount(line, minlength=total).astype(np.int64), gap, *pack_sorted(distinct)]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    line, number = key >> 32, key.astype(np.uint32)
+    gap = number.copy()  # a line's first word stands for itself
+    gap[1:] -= np.where(line[1:] == line[:-1], number[:-1], np.uint32(0))
+    return [n_lines, np.bincount(line, minlength=total).astype(np.int64)], [gap, *pack_sorted(found[order])]
 
 
 class Lines:
-    """The lines of a chunk."""
+    """The lines of a chunk; what is asked for is decoded."""
+
+    def __init__(self, lines: bytes, words: bytes):
+        self._lines, self._words = lines, words
+
+    @cached_property
+    def _line_arrays(self) -> list[np.ndarray]:
+        return unpack_arrays(self._lines)
+
+    @cached_property
+    def _word_arrays(self) -> list[np.ndarray]:
+        return unpack_arrays(self._words)
+
+    @property
+    def doc(self) -> np.ndarray:
+        return self._line_arrays[0]
+
+    @property
+    def n_lines(self) -> np.ndarray:
+        return self._line_arrays[1]
+
+    @property
+    def size(self) -> np.ndarray:
+        return self._line_arrays[2]
+
+    @cached_property
+    def start(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
 
-    def __init__(self, blob: bytes):
-        self.doc, self.n_lines, self.size, self.gap, *hashes = unpack_arrays(blob)
-        self.hashes = unpack_sorted(*hashes)
-        self.start = np.cumsum(self.size) - self.size
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return unpack_sorted(*self._word_arrays[1:])
 
     @cached_property
     def word(self) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(self.gap)])
+        sums = np.zeros(len(self._word_arrays[0]) + 1, np.int64)
+        np.cumsum(self._word_arrays[0], out=sums[1:])
         return sums[1:] - np.repeat(sums[self.start], self.size)
 
     @cached_property
@@ -176,23 +233,24 @@ def post(chunk: int, lines: Lines, said: list[tuple[int, bytes]], n: int, drop:
     tokens = mine[lines.line]
     key = (lines.line[tokens] << 32) | rank[lines.word[tokens]]
     key.sort()
-    line, r = key >> 32, key & 0xFFFFFFFF
-    size = lines.size[line]
-    start = np.zeros(len(lines.size), np.int64)
-    new = np.flatnonzero(np.diff(line, prepend=-1))
-    start[line[new]] = new
-    place = np.arange(len(line)) - start[line]
-    keep = (place <= size + (-size * num // den)) & (code_of[r] > 1)
-    line, r, place, size = line[keep], r[keep], place[keep], size[keep]
+    own = np.flatnonzero(mine)
+    size = lines.size[own]
+    prefix = size + (-size * num // den) + 1
+    place = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+    r = key[np.repeat(np.cumsum(size) - size, prefix) + place] & 0xFFFFFFFF
+    keep = code_of[r] > 1
+    line, r, place = np.repeat(own, prefix)[keep], r[keep], place[keep]
     word = lines.hashes[rare[r]]
-    sketches = Sketches.of(lines, np.unique(line))
     word >>= drop  # words that then look alike only make more candidates, which are verified
     to = np.argsort(word)
-    edges = _edges(word[to] << drop, n)
+    word, line, place = word[to], line[to], place[to]
+    size, doc, sketches = lines.size[line], lines.doc_of_line[line], Sketches.of(lines, np.unique(line))
+    level, row = Sketches.level(size), sketches.where[line]
+    edges = _edges(word << drop, n)
     for b, (i, j) in enumerate(zip(edges, edges[1:])):
         if j > i:
-            k = to[i:j]
-            out.append((b, chunk, pack_arrays(*pack_sorted(word[k]), line[k], place[k], size[k], lines.doc_of_line[line[k]], *(level[sketches.number(line[k], size[k], f)].ravel() for f, level in sketches.levels.items()))))
+            tables = (table[row[i:j][level[i:j] == k]].ravel() for k, table in enumerate(sketches.levels.values()))
+            out.append((b, chunk, pack_arrays(*pack_sorted(word[i:j]), *(a[i:j].astype(np.uint32) for a in (line, place, size)), doc[i:j], *tables)))
     return out
 
 
@@ -227,22 +285,19 @@ class Sketches:
             levels[f] = np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.uint64).reshape(-1, f)
         return cls(levels, where)
 
-    def number(self, line: np.ndarray, size: np.ndarray, f: int) -> np.ndarray:
-        return self.where[line[self.level(size) == self.LEVELS.index(f)]]
-
 
 class Folded:
     """Sketches of entries of all levels, for comparing any two at the finest level both have."""
 
     def __init__(self, size: np.ndarray, levels: list[np.ndarray]):
-        self.level = Sketches.level(size)
+        self.level = Sketches.level(size).astype(np.int8)
         self.tables = []
         for k, own in enumerate(levels):
             f = Sketches.LEVELS[k]  # bit h % 64e of a finer sketch is bit h % 64f here
             finer = [levels[m].reshape(-1, Sketches.LEVELS[m] // f, f) for m in range(k + 1, len(levels))]
             self.tables.append(np.concatenate([own.reshape(-1, f), *[np.bitwise_xor.reduce(t, axis=1) for t in finer]]))
         # an entry's row in the table of a level: entries of that level first, then those of finer ones
-        self.rows = np.zeros((len(levels), len(size)), np.int64)
+        self.rows = np.zeros((len(levels), len(size)), np.int32 if len(size) < 1 << 31 else np.int64)
         for k in range(len(levels)):
             order = np.concatenate([np.flatnonzero(self.level == f) for f in range(k, len(levels))])
             self.rows[k, order] = np.arange(len(order))
@@ -261,39 +316,44 @@ class Folded:
         return ok
 
 
-def join_lists(word, size, place, sketch: Folded, rank, owner, keep: int, num: int, den: int, wanted=None):
+def join_lists(word, size, place, sketch: Folded, owner, keep: int, num: int, den: int, wanted=None):
     """Pairs (later entry, earlier entry) of one list that may be alike, about `keep` for each later line, and which lines had more.
-    Entries are sorted by word and size; rank is their place in the corpus, owner the number of their line; wanted: lines to find pairs for."""
-    count = np.zeros(int(owner.max(initial=-1)) + 1, np.int64)
+    Entries are sorted by word and size; owner is the number of their line in the corpus; wanted: lines to find pairs for."""
+    count = np.zeros(int(owner.max(initial=-1)) + 1, np.int32)
     later, earlier, step = [], [], 1
-    i = np.arange(max(0, len(word) - 1))
+    lists = np.cumsum(np.append(False, word[1:] != word[:-1])[: len(word)]) << 32
+    longest = np.minimum(size.astype(np.int64) * den // num, 0xFFFFFFFF)  # of those alike enough in length
+    i = np.arange(len(word))
+    left = np.searchsorted(lists | size, lists | longest, side="right") - 1 - i  # entries that follow and are not too long
+    del lists, longest
+    size = size.astype(np.int32 if int(size.max(initial=0)) * 2 * (num + den) < 1 << 31 else np.int64)
+    rest = (size - place.astype(size.dtype)) * (num + den)  # words that can be common
     while len(i):
+        more = left >= step
+        i, left = i[more], left[more]
         j = i + step
-        i = i[(word[j] == word[i]) & (den * size[i] >= num * size[j])]  # the next step's pairs are less alike in length still
-        j = i + step
-        both = size[i] + size[j]
-        need = -(-both * num // (num + den))
-        swap = rank[i] < rank[j]
-        x, y = np.where(swap, j, i), np.where(swap, i, j)
-        ok = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
-        ok &= (count[owner[x]] <= keep) & (owner[x] != owner[y])  # one beyond tells that there are more
+        ok = np.minimum(rest[i], rest[j]) >= num * (size[i] + size[j])
+        x, y = i[ok], j[ok]
+        both = size[x] + size[y]
+        swap = owner[x] < owner[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        ok = (count[owner[x]] <= keep) & (owner[x] != owner[y])  # one beyond tells that there are more
         if wanted is not None:
             ok &= wanted[owner[x]]
-        x, y, most = x[ok], y[ok], (both - 2 * need)[ok]
-        ok = sketch.apart(x, y, most)
+        x, y, both = x[ok], y[ok], both[ok]
+        ok = sketch.apart(x, y, both - 2 * -(-both * num // (num + den)))
         x, y = x[ok], y[ok]
         np.add.at(count, owner[x], 1)
         later.append(x)
         earlier.append(y)
         step += 1
-        i = i[i + step < len(word)]
     none = np.empty(0, np.int64)
     return np.concatenate([none, *later]), np.concatenate([none, *earlier]), count > keep
 
 
 def by_word_and_size(word: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Order by word, then size: by one key if both fit."""
-    if len(size) and (int(word.max()) >> 48 or size.max() > 0xFFFF):
+    if len(size) and (int(word.max()) >> 48 or int(size.max()) > 0xFFFF):
         return np.lexsort((size, word))
     return np.argsort(word << np.uint64(16) | size.astype(np.uint64))
 
@@ -306,30 +366,45 @@ def match(got: pd.DataFrame, keep: int, num: int, den: int, only: pd.DataFrame |
     bucket = int(got["bucket"].iloc[0])
     if bucket < 0:
         return list(got.itertuples(index=False, name=None))
-    blobs = [unpack_arrays(p) for p in got["payload"]]
-    chunks = np.repeat(got["chunk"].to_numpy(), [len(b[2]) for b in blobs])
-    word = np.concatenate([unpack_sorted(b[0], b[1]) for b in blobs])
-    line, place, size, doc = (np.concatenate([b[k] for b in blobs]) for k in range(2, 6))
-    sketch = Folded(size, [np.concatenate([b[6 + k] for b in blobs]) for k in range(len(Sketches.LEVELS))])
-    rank, owner = np.empty(len(word), np.int64), np.empty(len(word), np.int64)
-    at = np.searchsorted(np.unique(got["chunk"]), chunks) << 32 | line
+    names, number = np.unique(got["chunk"].to_numpy(), return_inverse=True)
+    columns = [list(c) for c in zip(*(unpack_arrays(p) for p in got["payload"]))]
+
+    def joined() -> np.ndarray:
+        return np.concatenate(columns.pop(0))
+
+    at = np.repeat(number, [len(c) for c in columns[2]]) << 32  # with the line: its place among the chunks
+    word = np.concatenate([unpack_sorted(*c) for c in zip(columns.pop(0), columns.pop(0))])
+    at |= joined()
+    place, size, doc = joined(), joined(), joined()
+    levels = [joined() for _ in Sketches.LEVELS]
+    ours = None
+    if only is not None:
+        keep = len(word)
+        to = np.searchsorted(names, only["chunk"].to_numpy())
+        ours = np.isin(at, np.concatenate([unpack_arrays(p)[0] | k << 32 for k, p in zip(to.tolist(), only["payload"])]))
+        own = np.isin(word, word[ours])  # their lists only
+        level = Sketches.level(size)
+        levels = [table.reshape(-1, f)[own[level == k]].ravel() for k, (f, table) in enumerate(zip(Sketches.LEVELS, levels))]
+        at, word, place, size, doc, ours = (a[own] for a in (at, word, place, size, doc, ours))
+    sketch = Folded(size, levels)
+    owner = np.empty(len(word), np.int32 if len(word) < 1 << 31 else np.int64)
     order = np.lexsort((at, doc))
-    rank[order] = np.arange(len(word))
     owner[order] = np.cumsum(np.diff(at[order], prepend=-1) != 0) - 1
-    wanted, by = None, np.arange(len(word))
+    del order, doc, levels
+    wanted = None
     if only is not None:
-        wanted, keep = np.zeros(int(owner.max()) + 1, bool), len(word)
-        for c, p in zip(only["chunk"], only["payload"]):
-            own = np.flatnonzero(chunks == c)
-            wanted[owner[own[np.isin(line[own], unpack_arrays(p)[0])]]] = True
-        by = np.flatnonzero(np.isin(word, word[wanted[owner]]))  # their lists only
-    by = by[by_word_and_size(word[by], size[by])]
+        wanted = np.zeros(int(owner.max(initial=-1)) + 1, bool)
+        wanted[owner[ours]] = True
+    by = by_word_and_size(word, size)
+    at, word, size, place, owner = (a[by] for a in (at, word, size, place, owner))
     sketch.level, sketch.rows = sketch.level[by], sketch.rows[:, by]
-    x, y, over = join_lists(word[by], size[by], place[by], sketch, rank[by], owner[by], keep, num, den, wanted)
+    del by
+    x, y, over = join_lists(word, size, place, sketch, owner, keep, num, den, wanted)
     if not len(x):
         return []
-    x, y = by[x], by[y]
-    pairs = np.unique(np.stack([chunks[y], chunks[x], line[x], line[y], over[owner[x]] * (bucket + 1)], axis=1), axis=0)
+    low = 0xFFFFFFFF
+    pairs = np.unique(np.stack([at[y] >> 32, at[x] >> 32, at[x] & low, at[y] & low, over[owner[x]] * (bucket + 1)], axis=1), axis=0)
+    pairs[:, :2] = names[pairs[:, :2]]
     cuts = np.flatnonzero(np.diff(pairs[:, 0])) + 1
     return [(bucket, int(p[0, 0]), pack_arrays(*(np.ascontiguousarray(p[:, k]) for k in range(1, 5)))) for p in np.split(pairs, cuts)]
 
@@ -356,25 +431,32 @@ def show(chunk: int, lines: Lines, said: list[tuple[int, bytes]]) -> list[tuple[
 def verified(lines: Lines, said: list[tuple[int, bytes]], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines that match a candidate; and (line, bucket) where a line had more candidates than were shown."""
     gone = np.zeros(len(lines.size), bool)
-    blobs = [unpack_arrays(p) for b, p in said if b >= 0]
-    if not blobs:
-        return gone, np.empty(0, np.int64), np.empty(0, np.int64)
-    x, more = (np.concatenate([b[k] for b in blobs]) for k in range(2))
-    parts = []
-    for _, _, which, size, words in blobs:
+    seen, held, n_words = [np.zeros((2, 0), np.int64)], [], 0
+    blobs = [p for b, p in said if b >= 0]
+    for k, blob in enumerate(blobs):
+        x, more, which, size, words = unpack_arrays(blob)
         start, size_of = (np.cumsum(size) - size)[which], size[which]
-        parts.append((size_of, words[np.repeat(start - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())]))
-    size, words = (np.concatenate([p[k] for p in parts]) for k in range(2))
-    seed = np.uint64(0x9E3779B97F4A7C15)
+        held.append((x, size_of, words[np.repeat(start - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())]))
+        seen.append(np.stack([x, more]))
+        n_words += len(held[-1][2])
+        if n_words >= AT_ONCE or k == len(blobs) - 1:
+            x, size, words = (np.concatenate(c) for c in zip(*held))
+            gone[x[_alike(lines, x, size, words, num, den)]] = True
+            held, n_words = [], 0
+    x, more = np.concatenate(seen, axis=1)
+    return gone, x[more > 0], more[more > 0] - 1
+
+
+def _alike(lines: Lines, x: np.ndarray, size: np.ndarray, words: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the lines `x` are alike to the candidates beside them, whose `words` stand one after the other."""
     pair = np.repeat(np.arange(len(x)), size)
     own_size = lines.size[x]
     at = np.repeat(lines.start[x] - (np.cumsum(own_size) - own_size), own_size) + np.arange(own_size.sum())
     own_pair = np.repeat(np.arange(len(x)), own_size)
-    ours = mix(lines.hashes[lines.word[at]] + own_pair.astype(np.uint64) * seed)
-    known = pd.Series(mix(words + pair.astype(np.uint64) * seed)).isin(ours).to_numpy()
+    ours = mix(lines.hashes[lines.word[at]] + own_pair.astype(np.uint64) * _SEED)
+    known = pd.Series(mix(words + pair.astype(np.uint64) * _SEED)).isin(ours).to_numpy()
     common = np.bincount(pair[known], minlength=len(x))
-    gone[x[common * den >= (size + own_size - common) * num]] = True
-    return gone, x[more > 0], more[more > 0] - 1
+    return common * den >= (size + own_size - common) * num
 
 
 def own_flags(said: list[tuple[int, bytes]]) -> np.ndarray:
@@ -394,7 +476,7 @@ def settle(chunk: int, lines: Lines, said: list[tuple[int, bytes]], num: int, de
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """chunk, rows (the input rows, compressed), lines (their line sets): made where the texts are read."""
+    """chunk, rows (the input rows, compressed), lines and words (their line sets): made where the texts are read."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -417,14 +499,15 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUN
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=options) as out:
                     out.write_batch(part)
-                lines = pack_arrays(order, *encode_lines(text.slice(at, end - at).to_pylist()))
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "rows": [sink.getvalue().to_pybytes()], "lines": [lines]}, pa.schema([("chunk", pa.int64()), ("rows", pa.binary()), ("lines", pa.binary())]))
+                lines, words = encode_lines(text.slice(at, end - at).to_pylist())
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "rows": [sink.getvalue().to_pybytes()], "lines": [pack_arrays(order, *lines)], "words": [pack_arrays(*words)]}, schema)
                 chunk, at = chunk + 1, end
                 give_back()
 
+    schema = pa.schema([("chunk", pa.int64()), *((k, pa.binary()) for k in ("rows", "lines", "words"))])
     columns, place = list(range(len(docs.columns))), docs.columns.index(text_col)  # by place: names may clash
     rows = docs.withColumn(text_col, F.col(text_col).cast("string")).select("*", F.col(id_col).cast("long").alias("_id"))
-    return rows.mapInArrow(run, "chunk long, rows binary, lines binary")
+    return rows.mapInArrow(run, "chunk long, rows binary, lines binary, words binary")
 
 
 def line_dedup(docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", keep: int = K) -> DataFrame:
@@ -432,22 +515,27 @@ def line_dedup(docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc_
     total = text_bytes(docs, text_col)
     n = n_buckets(total // 32)
     drop = np.uint64(max(0, 64 - (max(1, total // 32).bit_length() + SPARE_BITS)))
-    chunks = encoded(docs, id_col, text_col)
+    chunks = encoded(docs, id_col, text_col).repartition("chunk")
+    # all steps share one exchange, and only the last takes the rows from it: their size is named here so that they aren't left out before, which would be another exchange
+    sets = chunks.select("chunk", "lines", "words", F.octet_length("rows").alias("rows"))
 
     def frame(rows) -> pd.DataFrame:
         give_back()
         return pd.DataFrame(rows, columns=["bucket", "chunk", "payload"])
 
+    def lines_of(part: pd.DataFrame) -> Lines:
+        return Lines(part["lines"].iloc[0], part["words"].iloc[0])
+
     def at_chunk(step):
         def run(part: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-            return frame(step(int(part["chunk"].iloc[0]), Lines(part["lines"].iloc[0]), list(zip(said["bucket"].tolist(), said["payload"].tolist()))) if len(part) else [])
+            return frame(step(int(part["chunk"].iloc[0]), lines_of(part), list(zip(said["bucket"].tolist(), said["payload"].tolist()))) if len(part) else [])
 
         return run
 
     def meet(said: DataFrame, step) -> DataFrame:
-        return chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(at_chunk(step), ASK_SCHEMA)
+        return sets.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(at_chunk(step), ASK_SCHEMA)
 
-    asks = chunks.groupBy("chunk").applyInPandas(lambda part: frame(ask_words(int(part["chunk"].iloc[0]), Lines(part["lines"].iloc[0]), n, drop)), ASK_SCHEMA)
+    asks = sets.groupBy("chunk").applyInPandas(lambda part: frame(ask_words(int(part["chunk"].iloc[0]), lines_of(part), n, drop)), ASK_SCHEMA)
     words = asks.groupBy("bucket").applyInPandas(lambda got: frame(answer_words(got)), ASK_SCHEMA)
     posts = meet(words, lambda chunk, lines, said: post(chunk, lines, said, n, drop, num, den))
     shown = meet(posts.groupBy("bucket").applyInPandas(lambda got: frame(match(got, keep, num, den)), ASK_SCHEMA), show)
@@ -463,7 +551,7 @@ def line_dedup(docs: DataFrame, num: int = 8, den: int = 10, id_col: str = "doc_
         if not part.num_rows:
             return pa_schema.empty_table()
         give_back()
-        lines = Lines(part.column("lines")[0].as_py())
+        lines = Lines(part.column("lines")[0].as_py(), part.column("words")[0].as_py())
         heard = list(zip(said.column("bucket").to_pylist(), said.column("payload").to_pylist()))
         gone = own_flags(heard).view(bool) | verified(lines, heard, num, den)[0]
         rows = pa.ipc.open_stream(part.column("rows")[0].as_buffer()).read_all()
