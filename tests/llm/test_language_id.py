@@ -84,3 +84,21 @@ def test_slices():
             assert [t for p in parts for t in p] == texts[start:]
             assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= most for p in parts)
     assert list(slices(pa.array([], pa.string()), 9)) == []
+
+
+def test_accepted_rows_leave_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from wakeline.llm import language_id as li
+
+    class Some:
+        def predict(self, texts, sure):
+            return [("en", 1.0 if len(t or "") % 3 else 0.1) for t in texts]
+
+    monkeypatch.setattr(li, "SLICE_BYTES", 100)
+    texts = ["x" * (k % 50) for k in range(200)] + [None, "y" * 400, "z"]
+    rows = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "text": texts})
+    parts = list(li.kept(rows, 1, Some(), 0.4))
+    want = [(k, t) for k, t in enumerate(texts) if len(t or "") % 3]
+    assert [(r["n"], r["text"]) for p in parts for r in p.to_pylist()] == want
+    assert all(sum(len(t) for t in p.column("text").to_pylist()) <= 100 for p in parts if p.num_rows > 1)

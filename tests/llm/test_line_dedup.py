@@ -85,3 +85,28 @@ def test_rows_stay_in_the_exchange(spark):
 def test_nothing_heard_nothing_decoded():
     lines = ld.Lines(b"not a blob", b"nor this")
     assert ld.show(7, lines, [(-8, b"own")]) == [(-8, 7, b"own")]
+
+
+def test_memory_of_a_bucket():
+    """Joining a bucket takes no more than 20 times the bytes of its postings' words (it was 32 times)."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n, parts, rng = 1 << 18, 16, np.random.default_rng(3)
+    rows = []
+    for c in range(parts):
+        m = n // parts
+        word = np.sort(rng.integers(0, n // 8, m)).astype(np.uint64) << np.uint64(20)
+        size = rng.integers(10, 400, m).astype(np.uint32)
+        size[size > 96] //= 5
+        line = np.arange(m, dtype=np.uint32)
+        none = np.empty(0, np.uint64)
+        rows.append((0, c, common.pack_arrays(*common.pack_sorted(word), line, line % 3, size, line.astype(np.int64) + c * m, rng.integers(0, 1 << 62, m).astype(np.uint64), none, none, none)))
+    got = pd.DataFrame(rows, columns=["bucket", "chunk", "payload"])
+    tracemalloc.start()
+    ld.match(got, 4, 8, 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 20 * 8 * n, most / 8 / n

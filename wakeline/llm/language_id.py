@@ -317,6 +317,16 @@ def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
         at = end
 
 
+def kept(rows: pa.RecordBatch, place: int, predictor: Predictor, least: float) -> Iterator[pa.RecordBatch]:
+    """The accepted rows, in parts of as much text as is read at once: a whole batch would be held again here, and by the JVM that takes it."""
+    at = 0
+    for part in slices(rows.column(place), SLICE_BYTES):
+        keep = [g[0] != UNDETERMINED and g[1] >= least for g in predictor.predict(part.to_pylist(), sure=True)]
+        yield rows.slice(at, len(part)).filter(pa.array(keep, pa.bool_()))
+        at += len(part)
+        give_back()
+
+
 def accepted(docs: DataFrame, crf: Crf | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """The documents, in their own columns, whose words are on average in some learned language with a probability of `least` or more: documents in one language, and
     those that mix several.  Documents without a letter go."""
@@ -326,11 +336,7 @@ def accepted(docs: DataFrame, crf: Crf | None, least: float = 0.4, text_col: str
     def run(batches):
         predictor = Predictor(shared.value)
         for b in batches:
-            keep = []
-            for part in slices(b.column(place), SLICE_BYTES):
-                keep += [g[0] != UNDETERMINED and g[1] >= least for g in predictor.predict(part.to_pylist(), sure=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-            give_back()
+            yield from kept(b, place, predictor, least)
 
     return docs.mapInArrow(run, docs.schema)
 
