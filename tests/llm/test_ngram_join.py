@@ -100,3 +100,51 @@ def test_sql(spark):
     con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
     want = sorted(con.execute(nj.SQL["op7_ngram_join"]).fetchall())
     assert sorted(map(tuple, nj.op7_ngram_join(spark, DIR).collect())) == want
+
+
+def test_shingles_in_slices(monkeypatch):
+    """Sets, their signatures and their order by rarity are the same whatever is read at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["", *corpus(), None, "x " * 200])
+    drop = np.uint64(20)
+
+    def made():
+        s = nj.Shingles(texts, 4)
+        own, counts = s.keys(drop)
+        before = s.hashes.copy()
+        alone = s.by_rarity(drop, own, nj._codes(counts))
+        return before, s.size, s.signature, own, counts, s.hashes, alone
+
+    whole = made()
+    before, size, _, own, counts, after, alone = whole
+    assert size.tolist() == [len(shingles(t, 4)) for t in texts.to_pylist()]
+    code = dict(zip(own.tolist(), nj._codes(counts).tolist()))
+    at = 0
+    for n, k in zip(size.tolist(), alone.tolist()):
+        ranked = sorted((code[h >> 20 << 20], h) for h in before[at : at + n].tolist())
+        assert after[at : at + n].tolist() == [h for _, h in ranked] and k == sum(c == 1 for c, _ in ranked)
+        at += n
+    for most in (1, 300):
+        monkeypatch.setattr(nj, "SLICE", most)
+        for a, b in zip(whole, made()):
+            assert np.array_equal(a, b)
+    monkeypatch.setattr(nj, "SLICE", 1 << 18)
+    assert all(not len(x) for x in nj.Shingles(pa.array([], pa.string()), 4).keys(drop))
+
+
+def test_memory_of_a_chunk():
+    """The shingles of a chunk take no more than six times their own bytes while they are made (it was 12 times and the texts)."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(map(str, rng.integers(0, 100_000, 500))) for _ in range(800)])
+    tracemalloc.start()
+    s = nj.Shingles(texts, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 6 * s.hashes.nbytes, most / s.hashes.nbytes

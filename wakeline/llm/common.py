@@ -10,10 +10,11 @@ key therefore reaches a bucket once per chunk, however often it occurs.
 from __future__ import annotations
 
 import math
+import mmap
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,9 @@ CHUNK_BYTES = 8 << 20
 #: Keys that one bucket takes, about.
 BUCKET_KEYS = 1 << 20
 
+#: Moments after which `give_back` ends, if nothing is freed or taken.
+QUIET = 10
+
 ASK_SCHEMA = "bucket long, chunk long, payload binary"
 
 
@@ -102,6 +106,16 @@ def chunked(docs: DataFrame, total: int, make: Callable[[pa.Table], bytes], id_c
     return rows.mapInArrow(run, "chunk long, payload binary").repartition(n, "chunk")
 
 
+def slices(texts: pa.Array | pa.ChunkedArray, most: int) -> Iterator[pa.Array | pa.ChunkedArray]:
+    """The texts in order, in parts of at most `most` bytes; a longer text is a part of its own."""
+    after = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def pack_table(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))) as out:
@@ -163,8 +177,8 @@ _asked, _giver = False, None
 
 
 def give_back(after: float = 1.0) -> None:
-    """Return freed memory to the system in a moment, and once more a moment after the last call, when what is in hand is freed too: workers live on from stage to stage, and
-    what they keep adds to the executor's."""
+    """Return freed memory to the system every moment from now on, until nothing has been freed or taken for `QUIET` moments: what is in hand at the last call is freed later, and
+    workers live on from stage to stage, where what they keep adds to the executor's."""
     import threading
 
     global _asked, _giver
@@ -178,10 +192,24 @@ def _give(after: float) -> None:
     import time
 
     global _asked
-    while _asked:
-        _asked = False
+    quiet, size = 0, 0
+    while _asked or quiet < QUIET:
+        asked, _asked = _asked, False
         time.sleep(after)
-        _trim()
+        if asked or abs(_resident() - size) > 1 << 20:
+            _trim()
+            quiet, size = 0, _resident()
+        else:
+            quiet += 1
+
+
+def _resident() -> int:
+    """Bytes of memory that the process has; 0 where that can't be read."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * mmap.PAGESIZE
+    except OSError:
+        return 0
 
 
 def _trim() -> None:
@@ -344,17 +372,22 @@ class WordRuns:
     """Hashes of the words of a chunk's texts, one text after the other: where each text starts and how many it has."""
 
     def __init__(self, texts, lower: bool, split_bytes: int = 1 << 20):
-        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         hashes, sizes, held, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], 0
-        for k, d in enumerate(data):
+
+        def done():
+            found, start = byte_words(b"\n".join(held))
+            hashes.append(found)
+            sizes.append(np.diff(np.searchsorted(start, np.cumsum([len(h) + 1 for h in held])), prepend=0))
+
+        for t in texts:
+            d = (t or "").encode("utf-8", "surrogatepass")
             held.append(d.lower() if lower else d)  # of bytes: A-Z only
             size += len(d) + 1
-            if size >= split_bytes or k == len(data) - 1:
-                found, start = byte_words(b"\n".join(held))
-                ends = np.cumsum([len(h) + 1 for h in held])
-                hashes.append(found)
-                sizes.append(np.diff(np.searchsorted(start, ends), prepend=0))
+            if size >= split_bytes:
+                done()
                 held, size = [], 0
+        if held:
+            done()
         self.hash, self.size = np.concatenate(hashes), np.concatenate(sizes)
         self.start = np.cumsum(self.size) - self.size
 

@@ -23,11 +23,10 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import documents, give_back, id_back, id_crc_mod, id_text, mix
+from wakeline.llm.common import documents, give_back, id_back, id_crc_mod, id_text, mix, slices
 
 BUCKETS = 1 << 17
 NGRAMS = (1, 2, 3, 4)
@@ -35,6 +34,8 @@ LEXICON = 2000
 MEMORY = 300_000
 #: Words that one forward-backward run holds.
 BATCH_WORDS = 250_000
+#: New words that are scored at a time: their features take some kB each.
+FRESH_WORDS = 2000
 #: Bytes of text that are Python strings at a time, when documents are accepted; a longer text is alone.
 SLICE_BYTES = 4 << 20
 UNDETERMINED = "und"
@@ -230,7 +231,7 @@ class Predictor:
 
     def learn(self) -> None:
         fresh = list(islice(self.index, len(self.score), None))
-        parts = [self.crf.scores(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000)]
+        parts = [self.crf.scores(fresh[i : i + FRESH_WORDS]) for i in range(0, len(fresh), FRESH_WORDS)]
         self.score = np.concatenate([self.score, *parts])
 
     def predict(self, texts: list[str | None], sure: bool = False) -> list[tuple[str, float]]:
@@ -307,16 +308,6 @@ def language_id(docs: DataFrame, crf: Crf | None, folds: int = 5, id_col: str =
     return id_back(rows.mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double"))
 
 
-def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
-    """The texts in order, in parts of at most `most` bytes; a longer text is a part of its own."""
-    after = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + most, side="right")))
-        yield texts.slice(at, end - at)
-        at = end
-
-
 def kept(rows: pa.RecordBatch, place: int, predictor: Predictor, least: float) -> Iterator[pa.RecordBatch]:
     """The accepted rows, in parts of as much text as is read at once: a whole batch would be held again here, and by the JVM that takes it."""
     at = 0

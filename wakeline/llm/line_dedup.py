@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wakeline.llm.common import ASK_SCHEMA, CHUNK_BYTES, bucket_of, documents, give_back, mix, n_buckets, own_row, pack_arrays, pack_sorted, text_bytes, unpack_arrays, unpack_sorted, word_hashes
+from wakeline.llm.common import ASK_SCHEMA, CHUNK_BYTES, bucket_of, documents, give_back, mix, n_buckets, own_row, pack_arrays, pack_sorted, slices, text_bytes, unpack_arrays, unpack_sorted, word_hashes
 
 #: Candidates that a line keeps in a bucket at first.
 K = 4
@@ -70,21 +70,19 @@ def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out, start
 
 
-def encode_lines(texts) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def encode_lines(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Lines of each text (an empty one has one) and size of each line's set; words of all sets, as differences of their numbers, and sorted hashes of the words."""
-    data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    n_lines = np.array([d.count(b"\n") + 1 for d in data], np.int64)
-    hashes, lines, first, held, size = [], [], 0, [], 0
-    for k, d in enumerate(data):
-        held.append(d)
-        size += len(d)
-        if size >= SPLIT or k == len(data) - 1:
-            joined = b"\n".join(held)
-            h, start = words_at(joined)
-            breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
-            hashes.append(h)
-            lines.append(np.repeat(np.arange(first, first + len(breaks) + 1), np.diff(np.searchsorted(start, breaks), prepend=0, append=len(start))))
-            first, held, size = first + len(breaks) + 1, [], 0
+    n_lines, hashes, lines, first = [np.empty(0, np.int64)], [], [], 0
+    for part in slices(texts, SPLIT):
+        data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in part.to_pylist()]
+        n_lines.append(np.array([d.count(b"\n") + 1 for d in data], np.int64))
+        joined = b"\n".join(data)
+        h, start = words_at(joined)
+        breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+        hashes.append(h)
+        lines.append(np.repeat(np.arange(first, first + len(breaks) + 1), np.diff(np.searchsorted(start, breaks), prepend=0, append=len(start))))
+        first += len(breaks) + 1
+    n_lines = np.concatenate(n_lines)
     total = int(n_lines.sum())
     if not hashes:
         none = np.empty(0, np.int64)
@@ -499,7 +497,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUN
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=options) as out:
                     out.write_batch(part)
-                lines, words = encode_lines(text.slice(at, end - at).to_pylist())
+                lines, words = encode_lines(text.slice(at, end - at))
                 yield pa.RecordBatch.from_pydict({"chunk": [chunk], "rows": [sink.getvalue().to_pybytes()], "lines": [pack_arrays(order, *lines)], "words": [pack_arrays(*words)]}, schema)
                 chunk, at = chunk + 1, end
                 give_back()

@@ -22,11 +22,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, exact, give_back, meet, mix, n_buckets, pack_arrays, pack_table, scratch, send_counts, sum_counts, text_bytes, unpack_arrays, unpack_table
+from wakeline.llm.common import Rolling, WordRuns, ask, chunked, documents, exact, give_back, meet, mix, n_buckets, pack_arrays, pack_table, scratch, send_counts, slices, sum_counts, text_bytes, unpack_arrays, unpack_table
 
+#: Bytes of text that are read at a time, and shingles that are ordered at a time; a longer text is alone.
+SLICE = 1 << 18
 #: Entries of a list that one part holds, about.
 LIST = 4096
 #: Rows with one node that one copy of its n-grams serves, about; and rows of a table of hot nodes that is broadcast.
@@ -36,10 +39,18 @@ SKETCH = 16
 
 
 class Shingles:
-    """Distinct shingles of each text of a chunk: hashes, one text after the other, and how many each has."""
+    """Distinct shingles of each text of a chunk: hashes, one text after the other, and how many each has.  Texts are read and sorted some 256 KB at a time, as all working arrays of a
+    chunk would be a worker's largest."""
 
-    def __init__(self, texts, n: int):
-        w = WordRuns(texts, lower=True)
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, n: int):
+        parts = [self._part(part.to_pylist(), n) for part in slices(texts, SLICE)]
+        hashes, size, signature = zip(*parts) if parts else ([np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)])
+        self.hashes, self.size, self.signature = np.concatenate(hashes), np.concatenate(size), np.concatenate(signature)
+        self.start = np.cumsum(self.size) - self.size
+
+    @staticmethod
+    def _part(texts: list, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = WordRuns(texts, lower=True, split_bytes=SLICE)
         roll = Rolling(w.hash)
         at = np.flatnonzero(w.inside(n))
         owner = np.repeat(np.arange(len(w.size)), w.size)[at] if len(at) else np.empty(0, np.int64)
@@ -51,18 +62,34 @@ class Shingles:
         hashes, owner = hashes[order], owner[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        self.hashes, self.owner = hashes[new], owner[new]
-        self.size = np.bincount(self.owner, minlength=len(w.size))
-        self.start = np.cumsum(self.size) - self.size
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.hashes), dtype=np.uint64)])
-        self.signature = mix(sums[self.start + self.size] - sums[self.start] + self.size.astype(np.uint64))
+        hashes, size = hashes[new], np.bincount(owner[new], minlength=len(w.size))
+        sums, end = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes), dtype=np.uint64)]), np.cumsum(size)
+        return hashes, size, mix(sums[end] - sums[end - size] + size.astype(np.uint64))
 
-    def distinct(self) -> np.ndarray:
-        """Mask of the shingles of texts that are the first with their set."""
+    def keys(self, drop: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes without their last `drop` bits, sorted, and how many different sets have each."""
         _, first = np.unique(self.signature, return_index=True)
         keep = np.zeros(len(self.size), bool)
         keep[first] = True
-        return keep[self.owner]
+        short = self.hashes[np.repeat(keep, self.size)]
+        short >>= drop
+        short <<= drop
+        short.sort()
+        at = np.flatnonzero(np.append(True, short[1:] != short[:-1])[: len(short)])
+        return short[at], np.diff(at, append=len(short))
+
+    def by_rarity(self, drop: np.uint64, own: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Order each text's hashes by the code of their key (own: sorted keys) and then by hash; returns how many have the code 1."""
+        alone, at = np.zeros(len(self.size), np.int64), 0
+        while at < len(self.size):
+            end = max(at + 1, int(np.searchsorted(self.start, self.start[at] + SLICE, side="right")) - 1)
+            i, j = self.start[at], self.start[end - 1] + self.size[end - 1]
+            owner, grams = np.repeat(np.arange(end - at), self.size[at:end]), self.hashes[i:j]
+            rank = code[np.searchsorted(own, grams >> drop << drop)]
+            grams[:] = grams[np.lexsort((rank, owner))]  # which are in the order of hashes
+            alone[at:end] = np.bincount(owner[rank == 1], minlength=end - at)
+            at = end
+        return alone
 
 
 def _codes(total: np.ndarray) -> np.ndarray:
@@ -85,24 +112,17 @@ def sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str
     # frequencies need no full hash: a shared key only makes two n-grams look more frequent, alike for all sets
     drop = np.uint64(max(0, 64 - (max(1, total // 4).bit_length() + 17)))
 
-    def keys(s: Shingles) -> tuple[np.ndarray, np.ndarray]:
-        short = s.hashes >> drop << drop
-        return short, np.unique(short[s.distinct()], return_counts=True)
-
     def emit(chunk: int, payload: bytes):
-        s = Shingles(unpack_table(payload).column("text").to_pylist(), n)
-        _, (own, counts) = keys(s)
+        own, counts = Shingles(unpack_table(payload).column("text"), n).keys(drop)
         return send_counts(chunk, own, counts.astype(np.int64), k)
 
     def ordered(chunk: int, payload: bytes, said: list) -> pd.DataFrame:
         rows = unpack_table(payload)
-        s = Shingles(rows.column("text").to_pylist(), n)
-        short, (own, _) = keys(s)
+        s = Shingles(rows.column("text"), n)
+        rows = rows.drop_columns(["text"])
         code = np.concatenate([unpack_arrays(p)[0] for _, p in sorted(said)] or [np.empty(0, np.uint8)])
-        code = code[np.searchsorted(own, short)]
-        order = np.lexsort((s.hashes, code, s.owner))
-        grams, code = s.hashes[order].view(np.int64), code[order]
-        alone = np.bincount(s.owner[code == 1] if len(code) else s.owner, minlength=len(s.size))
+        alone = s.by_rarity(drop, s.keys(drop)[0], code)
+        grams = s.hashes.view(np.int64)
         prefix = s.size - -(-num * s.size // den) + 1
         some = (s.size > 0) & (alone < prefix)
         cut = [grams[a : a + m] if ok else None for a, m, ok in zip(s.start, s.size, some)]
