@@ -10,6 +10,7 @@ key therefore reaches a bucket once per chunk, however often it occurs.
 from __future__ import annotations
 
 import math
+import mmap
 import tempfile
 import uuid
 import zlib
@@ -27,7 +28,7 @@ CHUNK_BYTES = 8 << 20
 #: Keys that one bucket takes, about.
 BUCKET_KEYS = 1 << 20
 
-#: Moments for which `give_back` goes on after its last call.
+#: Moments after which `give_back` ends, if nothing is freed or taken.
 QUIET = 10
 
 ASK_SCHEMA = "bucket long, chunk long, payload binary"
@@ -176,13 +177,11 @@ _asked, _giver = False, None
 
 
 def give_back(after: float = 1.0) -> None:
-    """Return freed memory to the system every moment from now on, until `QUIET` moments after the last call: what is in hand then may be freed much later, and workers live on from
-    stage to stage, where what they keep adds to the executor's."""
+    """Return freed memory to the system every moment from now on, until nothing has been freed or taken for `QUIET` moments: what is in hand at the last call is freed later, and
+    workers live on from stage to stage, where what they keep adds to the executor's."""
     import threading
 
     global _asked, _giver
-    if not _asked:  # else it was done a moment ago
-        pa.default_memory_pool().release_unused()  # of this thread: another one can't
     _asked = True
     if _giver is None or not _giver.is_alive():
         _giver = threading.Thread(target=_give, args=(after,), daemon=True)
@@ -193,12 +192,24 @@ def _give(after: float) -> None:
     import time
 
     global _asked
-    quiet = 0
+    quiet, size = 0, 0
     while _asked or quiet < QUIET:
-        quiet = 0 if _asked else quiet + 1
-        _asked = False
+        asked, _asked = _asked, False
         time.sleep(after)
-        _trim()
+        if asked or abs(_resident() - size) > 1 << 20:
+            _trim()
+            quiet, size = 0, _resident()
+        else:
+            quiet += 1
+
+
+def _resident() -> int:
+    """Bytes of memory that the process has; 0 where that can't be read."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * mmap.PAGESIZE
+    except OSError:
+        return 0
 
 
 def _trim() -> None:
@@ -360,7 +371,7 @@ def byte_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 class WordRuns:
     """Hashes of the words of a chunk's texts, one text after the other: where each text starts and how many it has."""
 
-    def __init__(self, texts, lower: bool, split_bytes: int = 1 << 18):
+    def __init__(self, texts, lower: bool, split_bytes: int = 1 << 20):
         hashes, sizes, held, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], 0
 
         def done():
